@@ -54,4 +54,57 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base
 FROM b
 """
 
-ORACLES = {"op7_quality_rules": OP7}
+OP2 = r"""
+WITH t AS (
+  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL SELECT -1, 0, 'user', '</s>[INST] ok [/INST]' UNION ALL SELECT -1, 1, 'assistant', '</s>[INST] ok [/INST]'),
+r AS (
+  SELECT *, length('<|im_start|>' || url_encode(role) || chr(10) || '<|im_end|>' || chr(10))
+      + length(regexp_replace(text, '([<\[])(~*)(\|im_start\|>|\|im_end\|>|/?s>|/?INST\])', '\1~\2\3', 'g')) AS w,
+    row_number() OVER (PARTITION BY conv_id ORDER BY turn, role, text) AS k, count(*) OVER (PARTITION BY conv_id) AS n FROM t),
+c AS (SELECT *, sum(w) OVER (PARTITION BY conv_id ORDER BY k) AS upto FROM r)
+SELECT conv_id, count(*)::BIGINT AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY k)) AS turns_sha256,
+  coalesce(sum(CASE WHEN role = 'assistant' THEN length(text) END), 0)::BIGINT AS loss_chars,
+  sha256(coalesce(string_agg(CASE WHEN role = 'assistant' THEN text END, '' ORDER BY k), '')) AS loss_sha256,
+  sum(CASE WHEN role = 'assistant' OR k = n THEN upto ELSE 0 END)::BIGINT AS formatted_chars
+FROM c GROUP BY conv_id
+"""
+
+OP9 = rf"""
+WITH d AS (SELECT doc_id, source, len({WORDS})::BIGINT AS size FROM documents),
+s AS (SELECT source, sum(size)::BIGINT AS source_size, 2.0::DOUBLE * sum(size)::DOUBLE AS cap FROM d GROUP BY 1),
+k AS (SELECT *, [3.0::DOUBLE, 1.0, 2.0][((row_number() OVER (ORDER BY source ASC NULLS LAST) - 1) % 3 + 1)::INTEGER] AS w, row_number() OVER (ORDER BY source ASC NULLS LAST) AS k FROM s),
+o AS (SELECT *, row_number() OVER (ORDER BY cap / w, k) AS i FROM k),
+l AS (
+  SELECT a.*, (SELECT sum(source_size)::DOUBLE * 1.5::DOUBLE FROM o) - coalesce((SELECT sum(b.cap) FROM o b WHERE b.i < a.i), 0) AS rest,
+    (SELECT sum(b.w) FROM o b WHERE b.i >= a.i) AS weight FROM o a),
+f AS (SELECT i AS first_free, rest / weight AS level FROM l WHERE rest / weight * w <= cap ORDER BY i LIMIT 1),
+t AS (SELECT source, source_size, CASE WHEN i >= first_free THEN level * w ELSE cap END AS target FROM l LEFT JOIN f ON true),
+r AS (SELECT *, CASE WHEN source_size > 0 THEN target / source_size ELSE 0.0 END AS rate FROM t)
+SELECT doc_id, size, source_size, target,
+  (size * (floor(rate) + CASE WHEN ('0x' || substr(md5(doc_id::VARCHAR || ':11'), 1, 8))::UBIGINT / 4294967296.0::DOUBLE < rate - floor(rate) THEN 1 ELSE 0 END))::BIGINT AS taken
+FROM d JOIN r ON d.source IS NOT DISTINCT FROM r.source
+"""
+
+OP10 = r"""
+WITH d AS (SELECT doc_id, string_split(text, chr(10)) AS ls FROM documents),
+x AS (SELECT doc_id, unnest(ls) AS line, unnest(range(len(ls))) AS i FROM d),
+m AS (
+  SELECT doc_id, i, line, array_to_string(list_transform(regexp_extract_all(line, '[^\x20\x09-\x0D]+'), lambda w: CASE WHEN regexp_matches(w, '[0-9@]') THEN '<*>' ELSE w END), ' ') AS mk FROM x),
+u AS (SELECT mk, count(DISTINCT doc_id) AS n, min(doc_id) AS first_doc, string_split(mk, ' ') AS ts FROM m WHERE len(string_split(mk, ' ')) >= 3 GROUP BY mk),
+lf AS (SELECT *, len(ts)::VARCHAR || ' ' || array_to_string(ts[1:3], ' ') AS leaf FROM u),
+gl AS (SELECT leaf FROM lf GROUP BY leaf HAVING sum(n) >= 3 AND count(*) > 1),
+tk AS (SELECT leaf, mk, n, unnest(ts) AS token, unnest(range(len(ts))) AS pos FROM lf WHERE leaf IN (SELECT leaf FROM gl)),
+cs AS (SELECT leaf, pos, token FROM tk WHERE token <> '<*>' GROUP BY ALL HAVING sum(n) >= 3),
+gn AS (
+  SELECT tk.leaf, mk, string_agg(CASE WHEN cs.token IS NULL THEN '<*>' ELSE tk.token END, ' ' ORDER BY tk.pos) AS general, count(cs.token) AS c, count(*) AS len
+  FROM tk LEFT JOIN cs ON tk.leaf = cs.leaf AND tk.pos = cs.pos AND tk.token = cs.token GROUP BY tk.leaf, mk),
+tp AS (SELECT lf.mk, n, first_doc, coalesce(general, lf.mk) AS template FROM lf LEFT JOIN gn ON gn.mk = lf.mk AND c >= 0.7 * len),
+rc AS (SELECT template, min(first_doc) AS first_doc FROM tp GROUP BY 1 HAVING sum(n) >= 3),
+dr AS (SELECT mk, rc.first_doc FROM tp JOIN rc USING (template)),
+k AS (SELECT m.doc_id, i, line, (dr.mk IS NOT NULL AND m.doc_id <> dr.first_doc) AS dropped FROM m LEFT JOIN dr ON m.mk = dr.mk)
+SELECT doc_id, count(*)::BIGINT AS n_lines, count(*) FILTER (dropped)::BIGINT AS n_dropped, sha256(coalesce(string_agg(line, chr(10) ORDER BY i) FILTER (NOT dropped), '')) AS text_sha256
+FROM k GROUP BY doc_id
+"""
+
+ORACLES = {"op2_chat_format": OP2, "op7_quality_rules": OP7, "op9_mixing": OP9, "op10_line_dedup": OP10}
