@@ -107,4 +107,17 @@ SELECT doc_id, count(*)::BIGINT AS n_lines, count(*) FILTER (dropped)::BIGINT AS
 FROM k GROUP BY doc_id
 """
 
-ORACLES = {"op2_chat_format": OP2, "op7_quality_rules": OP7, "op9_mixing": OP9, "op10_line_dedup": OP10}
+OP6 = r"""
+WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS ws FROM documents),
+s AS (
+  SELECT DISTINCT doc_id, array_to_string(ws[i:i + 4], ' ') AS g FROM (SELECT doc_id, ws, unnest(range(1, greatest(len(ws) - 3, 2))) AS i FROM w WHERE len(ws) > 0)),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY 1),
+p AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS c FROM s a JOIN s b ON a.g = b.g AND a.doc_id < b.doc_id GROUP BY ALL),
+l AS (SELECT a, b FROM p JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * c >= 85 * (x.n + y.n - c)),
+e AS (SELECT a AS u, b AS v FROM l UNION ALL SELECT b, a FROM l),
+r AS (SELECT doc_id AS d, doc_id AS root FROM documents UNION SELECT e.v, r.root FROM r JOIN e ON e.u = r.d WHERE r.root < e.v)
+SELECT w.doc_id, coalesce(n.n, 0)::BIGINT AS n_shingles, m.root AS component_id, w.doc_id = m.root AS kept
+FROM w LEFT JOIN n USING (doc_id) JOIN (SELECT d, min(root) AS root FROM r GROUP BY 1) m ON m.d = w.doc_id
+"""
+
+ORACLES = {"op6_minhash_dedup": OP6, "op2_chat_format": OP2, "op7_quality_rules": OP7, "op9_mixing": OP9, "op10_line_dedup": OP10}

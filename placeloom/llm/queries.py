@@ -7,12 +7,16 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from placeloom.llm import chat_format, line_dedup, mixing, quality_rules, sharding
+from placeloom.llm import chat_format, line_dedup, minhash, mixing, quality_rules, sharding
 from placeloom.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def op6_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash.classes(table(spark, sf_dir, "documents"))
+
+
 def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.score_documents(table(spark, sf_dir, "documents")).select("doc_id", *quality_rules.COUNTS, "base_failed", "kept")
 
@@ -42,6 +46,7 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Query]:
     return {
         "op2_chat_format": op2_chat_format,
+        "op6_minhash_dedup": op6_minhash_dedup,
         "op7_quality_rules": op7_quality_rules,
         "op8_sharding": op8_sharding,
         "op9_mixing": op9_mixing,
