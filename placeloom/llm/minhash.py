@@ -67,8 +67,8 @@ def word_list(text: str | None) -> list[bytes]:
     return (text or "").encode("utf-8", "surrogatepass").lower().split()
 
 
-def shingles(ws: list[bytes], k: int = SHINGLE) -> np.ndarray:
-    """Sorted distinct 64-bit shingle hashes."""
+def shingle_sequence(ws: list[bytes], k: int = SHINGLE) -> np.ndarray:
+    """64-bit shingle hashes in the order of the text."""
     n = len(ws)
     if not n:
         return np.empty(0, _U)
@@ -77,7 +77,12 @@ def shingles(ws: list[bytes], k: int = SHINGLE) -> np.ndarray:
     acc = mix(h[: n - size + 1] + _U(size))
     for j in range(1, size):
         acc = mix(acc * _U(0x9E3779B97F4A7C15) + h[j : n - size + 1 + j])
-    return np.unique(acc)
+    return acc
+
+
+def shingles(ws: list[bytes], k: int = SHINGLE) -> np.ndarray:
+    """Sorted distinct 64-bit shingle hashes."""
+    return np.unique(shingle_sequence(ws, k))
 
 
 def sketch(items: np.ndarray) -> np.ndarray:

@@ -120,4 +120,14 @@ SELECT w.doc_id, coalesce(n.n, 0)::BIGINT AS n_shingles, m.root AS component_id,
 FROM w LEFT JOIN n USING (doc_id) JOIN (SELECT d, min(root) AS root FROM r GROUP BY 1) m ON m.d = w.doc_id
 """
 
-ORACLES = {"op6_minhash_dedup": OP6, "op2_chat_format": OP2, "op7_quality_rules": OP7, "op9_mixing": OP9, "op10_line_dedup": OP10}
+OP4 = r"""
+WITH d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS ws FROM documents),
+b AS (SELECT item_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS ws FROM benchmark),
+ds AS (SELECT DISTINCT doc_id, least(len(ws), 5) AS k, array_to_string(ws[i:i + 4], ' ') AS g FROM (SELECT doc_id, ws, unnest(range(1, greatest(len(ws) - 3, 2))) AS i FROM d WHERE len(ws) > 0)),
+bs AS (SELECT DISTINCT item_id, least(len(ws), 5) AS k, array_to_string(ws[i:i + 4], ' ') AS g FROM (SELECT item_id, ws, unnest(range(1, greatest(len(ws) - 3, 2))) AS i FROM b WHERE len(ws) > 0)),
+n AS (SELECT item_id, count(*) AS n FROM bs GROUP BY 1),
+p AS (SELECT doc_id, item_id, count(*) AS c FROM ds JOIN bs USING (k, g) GROUP BY ALL)
+SELECT doc_id, item_id, n::BIGINT AS item_shingles, c::BIGINT AS shared_shingles FROM p JOIN n USING (item_id) WHERE 5 * c >= 4 * n
+"""
+
+ORACLES = {"op4_decontamination": OP4, "op6_minhash_dedup": OP6, "op2_chat_format": OP2, "op7_quality_rules": OP7, "op9_mixing": OP9, "op10_line_dedup": OP10}
