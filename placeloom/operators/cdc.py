@@ -73,11 +73,15 @@ def fan_out_sources(df: DataFrame, source: str, external: str, prefix: str, sep:
     return out.withColumn(source, F.concat(F.lit(prefix), F.lower("__pl_s"))).drop("__pl_s").withColumn("id", F.concat_ws("_", source, external))
 
 
+def _filled_in(fields: list[str]):
+    return lambda c: c["field"].isin(*fields) & (F.coalesce(c["new"], F.lit("")) != "")
+
+
 def field_suggestions(changed: DataFrame, key: str, groups: dict[str, list[str]]) -> DataFrame:
     """(key, group, fields, values): one row for each field group of which a field changed to a filled value."""
     lists = []
     for name, fields in groups.items():
-        hits = F.filter("changes", lambda c, fields=fields: c["field"].isin(*fields) & (F.coalesce(c["new"], F.lit("")) != ""))
+        hits = F.filter("changes", _filled_in(fields))
         lists.append(F.when(F.size(hits) > 0, F.struct(F.lit(name).alias("group"), F.transform(hits, lambda c: c["field"]).alias("fields"), F.transform(hits, lambda c: c["new"]).alias("values"))))
     return changed.select(key, F.explode(F.filter(F.array(*lists), lambda x: x.isNotNull())).alias("g")).select(key, "g.*")
 

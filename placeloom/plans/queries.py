@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from placeloom.plans import registry, relational_queries  # noqa: F401
+from placeloom.plans import entity_queries, registry, relational_queries, text_queries  # noqa: F401
 
 
 def queries() -> dict[str, registry.Query]:
