@@ -243,8 +243,8 @@ def _blocked(rows: DataFrame, weight: str) -> DataFrame:
 
 
 def _with_text(rows: DataFrame, docs: DataFrame) -> DataFrame:
-    """Joins ids with texts; where an id has several rows, with one of them."""
-    return rows.join(docs.select(F.col("doc_id").alias("id"), "text"), "id")
+    """Joins ids with texts. Always by a merge join, so that the plan and its cost don't change with the size of ``rows``."""
+    return rows.join(docs.select(F.col("doc_id").alias("id"), "text").hint("merge"), "id")
 
 
 def _verified(pairs: DataFrame, docs: DataFrame) -> DataFrame:
