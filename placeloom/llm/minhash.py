@@ -287,16 +287,19 @@ def classes(docs: DataFrame) -> DataFrame:
     labelled = buckets.select("key", "id").join(first.withColumnRenamed("node", "id"), "id", "left").withColumn("comp", F.coalesce("component", "id")).drop("component")
     labelled = stage(labelled, "labelled")
     mixed = labelled.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo <> hi").select("key")
-    open_rows = labelled.join(mixed, "key").join(reps.select(F.col("doc_id").alias("id"), "n", "sig"), "id").withColumn("w", F.lit(0))
-    blocked = _blocked(open_rows, "w").repartition(n_parts, "key", "b1", "b2").sortWithinPartitions("key", "b1", "b2")
-    alike = stage(blocked.select("key", "b1", "b2", "b", "id", "comp", "sig").mapInArrow(_block_links(False), links_schema), "alike")
-    groups = components(alike).select(F.col("node").alias("id"), F.col("component").alias("key"))
-    comp = labelled.select("id", "comp").distinct()
-    open_docs = stage(groups.join(comp, "id").join(reps.select(F.col("doc_id").alias("id"), "n"), "id"), "open")
-    settled = _with_text(_blocked(open_docs, "n"), docs).repartition(n_parts, "key", "b1", "b2").sortWithinPartitions("key", "b1", "b2")
-    late = settled.select("key", "b1", "b2", "b", "id", "comp", "text").mapInArrow(_block_links(True), links_schema)
-
-    final = components(links.unionByName(late))
+    open_rows = stage(labelled.join(mixed, "key").join(reps.select(F.col("doc_id").alias("id"), "n", "sig"), "id").withColumn("w", F.lit(0)), "open")
+    final = first
+    if not open_rows.isEmpty():
+        blocked = _blocked(open_rows, "w").repartition(n_parts, "key", "b1", "b2").sortWithinPartitions("key", "b1", "b2")
+        alike = stage(blocked.select("key", "b1", "b2", "b", "id", "comp", "sig").mapInArrow(_block_links(False), links_schema), "alike")
+        if not alike.isEmpty():
+            groups = components(alike).select(F.col("node").alias("id"), F.col("component").alias("key"))
+            open_docs = stage(groups.join(open_rows.select("id", "comp", "n").distinct(), "id"), "groups")
+            settled = _with_text(_blocked(open_docs, "n"), docs).repartition(n_parts, "key", "b1", "b2").sortWithinPartitions("key", "b1", "b2")
+            late = stage(settled.select("key", "b1", "b2", "b", "id", "comp", "text").mapInArrow(_block_links(True), links_schema), "late")
+            if not late.isEmpty():
+                final = components(links.unionByName(late))
+
     joined = copied.join(final, copied["rep"] == final["node"], "left").select("doc_id", F.coalesce("component", "rep").alias("component")).filter("doc_id <> component")
     linked_reps = final.join(copied.select("doc_id"), F.col("node") == F.col("doc_id"), "left_anti").select(F.col("node").alias("doc_id"), "component").filter("doc_id <> component")
     moved = joined.unionByName(linked_reps).distinct()
