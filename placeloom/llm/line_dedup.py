@@ -7,8 +7,8 @@ they make up at least ``similarity`` of it, and else is the line itself. That is
 merging stated without an order of arrival, so that it is a composition of aggregations. Templates that recur in at least
 ``min_docs`` documents are dropped from all documents but the first (smallest doc_id) that has them.
 
-Lines with fewer than ``min_tokens`` tokens, blank ones among them, are never dropped. Everything up to the last
-join moves hashes and distinct lines; each text is exchanged once.
+Lines with fewer than ``min_tokens`` tokens, blank ones among them, are never dropped. Up to the last join
+only hashes move, and the texts of lines in leaves that need merging; each document is exchanged once.
 
 Defined cases: null text stays null and has no lines; an empty text has one blank line; a line counts once for a document
 however often it stands in it; repeated rows with the same doc_id are one document; a null doc_id is a document of its own, last in order;
@@ -27,65 +27,96 @@ MIN_DOCS = 3
 MIN_TOKENS = 3
 SIMILARITY = 0.7
 FIELD = "<*>"
+FILTER_BITS = 24
 
 
 def masked(line: Column) -> Column:
     """Tokens joined by one space, those with a digit or an at sign replaced."""
     plain = F.array_join(words(line), " ")
-    return F.when(line.rlike("[0-9@]"), F.regexp_replace(plain, "[^ ]*[0-9@][^ ]*", FIELD.replace("$", ""))).otherwise(plain)
+    return F.when(line.rlike("[0-9@]"), F.regexp_replace(plain, "[^ ]*[0-9@][^ ]*", FIELD)).otherwise(plain)
 
 
-def _key(line: Column) -> list[Column]:
+def _tokens(line: Column) -> Column:
+    """How many tokens a masked line has; a blank line has one empty token."""
+    return F.length(line) - F.length(F.replace(line, F.lit(" "), F.lit(""))) + 1
+
+
+def _keys(line: Column, prefix: str = "k") -> list[Column]:
     """128 bits of a masked line."""
-    return [F.xxhash64(line).alias("k1"), F.xxhash64(line, F.lit(1)).alias("k2")]
+    return [F.xxhash64(line).alias(f"{prefix}1"), F.xxhash64(line, F.lit(1)).alias(f"{prefix}2")]
+
+
+def _leaf(line: Column, depth: int) -> Column:
+    return F.xxhash64(_tokens(line), F.substring_index(line, " ", depth))
+
+
+def _masked_lines(min_tokens: int) -> Column:
+    """Masked lines of a text that have enough tokens."""
+    return F.filter(F.transform(F.split("text", "\n"), masked), lambda m: _tokens(m) >= min_tokens)
+
+
+def document_lines(docs: DataFrame, min_tokens: int = MIN_TOKENS, depth: int = DEPTH) -> DataFrame:
+    """(doc_id, k1, k2, leaf): keys of the distinct masked lines of each document."""
+    keys = F.transform(_masked_lines(min_tokens), lambda m: F.struct(*_keys(m), _leaf(m, depth).alias("leaf")))
+    return docs.select("doc_id", F.explode(F.array_distinct(keys)).alias("x")).select("doc_id", "x.k1", "x.k2", "x.leaf")
+
+
+def _position(leaf: Column) -> Column:
+    return F.pmod(F.xxhash64(leaf, F.lit(7)), F.lit(1 << FILTER_BITS))
+
 
+def _lines_of(docs: DataFrame, leaves: DataFrame, min_tokens: int, depth: int) -> DataFrame:
+    """(leaf, line): the distinct masked lines that fall into the given leaves.
 
-def document_lines(docs: DataFrame, min_tokens: int = MIN_TOKENS) -> DataFrame:
-    """(doc_id, line): the distinct masked lines of each document that have enough tokens."""
-    lines = F.array_distinct(F.transform(F.split("text", "\n"), masked))
-    enough = F.size(F.split("line", " ")) >= min_tokens
-    return docs.select("doc_id", F.explode(lines).alias("line")).filter(enough)
+    A bitmap of FILTER_BITS bits, so of a fixed size, keeps most other lines from being exchanged; the join is exact."""
+    bits = leaves.select(_position(F.col("leaf")).alias("p")).groupBy(F.shiftright("p", 15).alias("__pl_b")).agg(F.bitmap_construct_agg(F.col("p").bitwiseAND(32767)).alias("__pl_bits"))
+    lines = docs.select(F.explode(F.array_distinct(_masked_lines(min_tokens))).alias("line")).withColumn("leaf", _leaf(F.col("line"), depth))
+    lines = lines.withColumn("__pl_p", _position(F.col("leaf"))).withColumns({"__pl_b": F.shiftright("__pl_p", 15), "__pl_i": F.col("__pl_p").bitwiseAND(32767).cast("int")})
+    near = lines.join(F.broadcast(bits), "__pl_b").filter(F.expr("shiftright(CAST(conv(hex(substring(__pl_bits, __pl_i div 8 + 1, 1)), 16, 10) AS INT), __pl_i % 8) & 1 = 1"))
+    return near.select("leaf", "line").distinct().join(leaves, "leaf", "left_semi")
 
 
-def recurring(lines: DataFrame, min_docs: int = MIN_DOCS, depth: int = DEPTH, similarity: float = SIMILARITY) -> DataFrame:
-    """(k1, k2, first_doc, template) of the masked lines whose template recurs."""
-    tokens = F.split("line", " ")
-    distinct = lines.groupBy("line").agg(F.count(F.lit(1)).alias("n"), F.min("doc_id").alias("first_doc"))
-    distinct = stage(distinct.withColumn("leaf", F.xxhash64(F.size(tokens), F.array_join(F.slice(tokens, 1, depth), " "))), "lines")
+def recurring(lines: DataFrame, docs: DataFrame, min_docs: int = MIN_DOCS, depth: int = DEPTH, similarity: float = SIMILARITY, min_tokens: int = MIN_TOKENS) -> DataFrame:
+    """(k1, k2, first_doc) of the masked lines whose template recurs."""
+    distinct = stage(lines.groupBy("k1", "k2", "leaf").agg(F.count(F.lit(1)).alias("n"), F.min("doc_id").alias("first_doc")), "lines")
     leaves = distinct.groupBy("leaf").agg(F.sum("n").alias("support"), F.count(F.lit(1)).alias("kinds")).filter((F.col("support") >= min_docs) & (F.col("kinds") > 1)).select("leaf")
-    shared = distinct.join(leaves, "leaf", "left_semi").select("leaf", "line", "n", F.posexplode(tokens).alias("pos", "token"))
+    leaves = stage(leaves, "leaves")
+    texts = _lines_of(docs, leaves, min_tokens, depth).select("leaf", "line", *_keys(F.col("line")))
+    shared = stage(texts.join(distinct.select("k1", "k2", "n"), ["k1", "k2"]), "shared").select("leaf", "k1", "k2", "n", F.posexplode(F.split("line", " ")).alias("pos", "token"))
     constants = shared.groupBy("leaf", "pos", "token").agg(F.sum("n").alias("support")).filter((F.col("support") >= min_docs) & (F.col("token") != FIELD)).select("leaf", "pos", "token", F.lit(True).alias("constant"))
+    token = F.when(F.col("constant"), F.col("token")).otherwise(FIELD)
     parsed = (
         shared.join(constants, ["leaf", "pos", "token"], "left")
-        .groupBy("leaf", "line")
-        .agg(F.array_sort(F.collect_list(F.struct("pos", F.when(F.col("constant"), F.col("token")).otherwise(FIELD).alias("token")))).alias("t"), F.count("constant").alias("c"))
+        .groupBy("k1", "k2")
+        .agg(F.array_sort(F.collect_list(F.struct("pos", token.alias("token")))).alias("t"), F.count("constant").alias("c"))
         .filter(F.col("c") >= similarity * F.size("t"))
-        .select("line", F.array_join(F.transform("t", lambda x: x["token"]), " ").alias("general"))
+        .select("k1", "k2", *_keys(F.array_join(F.transform("t", lambda x: x["token"]), " "), "g"))
     )
-    templated = distinct.join(parsed, "line", "left").withColumn("template", F.coalesce("general", "line")).select("line", "n", "first_doc", "template")
+    templated = distinct.join(parsed, ["k1", "k2"], "left").select("k1", "k2", "n", "first_doc", F.coalesce("g1", "k1").alias("t1"), F.coalesce("g2", "k2").alias("t2"))
     templated = stage(templated, "templates")
-    often = templated.groupBy("template").agg(F.sum("n").alias("docs"), F.min("first_doc").alias("first")).filter(F.col("docs") >= min_docs)
-    return stage(templated.join(often, "template").select(*_key(F.col("line")), F.col("first").alias("first_doc"), "template"), "recurring")
+    often = templated.groupBy("t1", "t2").agg(F.sum("n").alias("docs"), F.min("first_doc").alias("first")).filter(F.col("docs") >= min_docs)
+    return templated.join(often, ["t1", "t2"]).select("k1", "k2", F.col("first").alias("first_doc"))
 
 
 def dedup_lines(docs: DataFrame, min_docs: int = MIN_DOCS, depth: int = DEPTH, similarity: float = SIMILARITY, min_tokens: int = MIN_TOKENS) -> DataFrame:
     """One row per row of ``docs``: doc_id, text without its dropped lines, n_lines, n_dropped."""
     slim = docs.select("doc_id", "text")
-    lines = document_lines(slim, min_tokens)
-    drops = recurring(lines, min_docs, depth, similarity)
-    keyed = lines.select("doc_id", *_key(F.col("line")))
+    lines = stage(document_lines(slim, min_tokens, depth), "keys")
+    drops = recurring(lines, slim, min_docs, depth, similarity, min_tokens)
     hits = (
-        keyed.join(drops, ["k1", "k2"])
+        lines.select("doc_id", "k1", "k2")
+        .join(drops, ["k1", "k2"])
         .filter(~F.col("doc_id").eqNullSafe(F.col("first_doc")))
         .groupBy("doc_id")
         .agg(F.collect_set(F.struct("k1", "k2")).alias("__pl_keys"))
         .withColumnRenamed("doc_id", "__pl_doc")
     )
-    pair = lambda x: F.struct(F.xxhash64(masked(x)).alias("k1"), F.xxhash64(masked(x), F.lit(1)).alias("k2"))
-    kept = F.when(F.col("__pl_keys").isNull(), F.split("text", "\n")).otherwise(F.filter(F.split("text", "\n"), lambda x: ~F.array_contains(F.col("__pl_keys"), pair(x))))
-    n_lines = F.coalesce(F.size(F.split("text", "\n")), F.lit(0))
+    own = F.split("text", "\n")
+    keyed = F.arrays_zip(own.alias("line"), F.transform(F.transform(own, masked), lambda m: F.struct(*_keys(m))).alias("key"))
+    left = F.transform(F.filter(keyed, lambda x: ~F.array_contains(F.col("__pl_keys"), x["key"])), lambda x: x["line"])
+    n_lines = F.when(F.col("text").isNull(), 0).otherwise(F.size(own))
     return (
         slim.join(hits, F.col("doc_id").eqNullSafe(F.col("__pl_doc")), "left")
-        .withColumn("__pl_kept", kept)
-        .select("doc_id", F.array_join("__pl_kept", "\n").alias("text"), F.when(F.col("text").isNull(), 0).otherwise(n_lines).cast("long").alias("n_lines"), F.when(F.col("text").isNull(), 0).otherwise(n_lines - F.size("__pl_kept")).cast("long").alias("n_dropped"))
+        .withColumn("__pl_kept", F.when(F.col("__pl_keys").isNull(), own).otherwise(left))
+        .select("doc_id", F.array_join("__pl_kept", "\n").alias("text"), n_lines.cast("long").alias("n_lines"), F.when(F.col("text").isNull(), 0).otherwise(n_lines - F.size("__pl_kept")).cast("long").alias("n_dropped"))
     )
