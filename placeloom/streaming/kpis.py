@@ -19,7 +19,7 @@ def batch_kpis(events: DataFrame, period: str = "day") -> DataFrame:
 
 def stream_kpis(events: DataFrame, window: str = "1 day", late: str = "2 hours") -> DataFrame:
     """Tumbling windows with a watermark; the state of a window is dropped once it is ``late`` behind."""
-    return events.withWatermark("ts", late).groupBy(F.window("ts", window), "event_type").agg(F.count(F.lit(1)).alias("n"), F.approx_count_distinct("user_id").alias("users")).select(F.col("window.start").alias("period"), "event_type", "n", "users")
+    return events.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", late).groupBy(F.window("ts", window), "event_type").agg(F.count(F.lit(1)).alias("n"), F.approx_count_distinct("user_id").alias("users")).select(F.col("window.start").alias("period"), "event_type", "n", "users")
 
 
 def process_waiting(pending: DataFrame, apply: Callable[[DataFrame], DataFrame], key: str, status: str = "status") -> DataFrame:
