@@ -20,7 +20,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from placeloom.llm.common import stage, words
+from placeloom.llm.common import stage
 
 DEPTH = 3
 MIN_DOCS = 3
@@ -30,10 +30,15 @@ FIELD = "<*>"
 FILTER_BITS = 24
 
 
-def masked(line: Column) -> Column:
-    """Tokens joined by one space, those with a digit or an at sign replaced."""
-    plain = F.array_join(words(line), " ")
-    return F.when(line.rlike("[0-9@]"), F.regexp_replace(plain, "[^ ]*[0-9@][^ ]*", FIELD)).otherwise(plain)
+def masked_lines(text: Column) -> Column:
+    """A text's lines with their tokens joined by one space, those with a digit or an at sign replaced.
+
+    Works on the whole text, so that a line costs no expression of its own, and skips replacements that have nothing to do."""
+    flat = F.translate(text, "\t\x0b\x0c\r", "    ")
+    flat = F.when(F.contains(flat, F.lit("  ")), F.regexp_replace(flat, " {2,}", " ")).otherwise(flat)
+    flat = F.trim(F.when(F.contains(flat, F.lit(" \n")) | F.contains(flat, F.lit("\n ")), F.regexp_replace(flat, " ?\n ?", "\n")).otherwise(flat))
+    fields = F.when(flat.rlike("[0-9@]"), F.regexp_replace(flat, "[^ \n]*[0-9@][^ \n]*", FIELD)).otherwise(flat)
+    return F.split(fields, "\n")
 
 
 def _tokens(line: Column) -> Column:
@@ -52,7 +57,7 @@ def _leaf(line: Column, depth: int) -> Column:
 
 def _masked_lines(min_tokens: int) -> Column:
     """Masked lines of a text that have enough tokens."""
-    return F.filter(F.transform(F.split("text", "\n"), masked), lambda m: _tokens(m) >= min_tokens)
+    return F.filter(masked_lines(F.col("text")), lambda m: _tokens(m) >= min_tokens)
 
 
 def document_lines(docs: DataFrame, min_tokens: int = MIN_TOKENS, depth: int = DEPTH) -> DataFrame:
@@ -112,7 +117,7 @@ def dedup_lines(docs: DataFrame, min_docs: int = MIN_DOCS, depth: int = DEPTH, s
         .withColumnRenamed("doc_id", "__pl_doc")
     )
     own = F.split("text", "\n")
-    keyed = F.arrays_zip(own.alias("line"), F.transform(F.transform(own, masked), lambda m: F.struct(*_keys(m))).alias("key"))
+    keyed = F.arrays_zip(own.alias("line"), F.transform(masked_lines(F.col("text")), lambda m: F.struct(*_keys(m))).alias("key"))
     left = F.transform(F.filter(keyed, lambda x: ~F.array_contains(F.col("__pl_keys"), x["key"])), lambda x: x["line"])
     n_lines = F.when(F.col("text").isNull(), 0).otherwise(F.size(own))
     return (
