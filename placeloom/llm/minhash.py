@@ -310,4 +310,4 @@ def classes(docs: DataFrame) -> DataFrame:
 def keep_first(docs: DataFrame) -> DataFrame:
     """The rows of ``docs`` whose document is the least of its component, with all their columns."""
     out = stage(classes(docs).filter(~F.col("kept")).select(F.col("doc_id").alias("__pl_doc")).distinct(), "duplicates")
-    return docs.join(out, docs["doc_id"] == out["__pl_doc"], "left_anti")
+    return docs.hint("merge").join(out, F.col("doc_id") == F.col("__pl_doc"), "left_anti")  # one plan at every size

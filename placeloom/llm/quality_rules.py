@@ -158,10 +158,7 @@ def score_documents(docs: DataFrame, min_group: int = MIN_GROUP, reach: int = RE
 
 
 def filter_documents(docs: DataFrame, min_group: int = MIN_GROUP, reach: int = REACH) -> DataFrame:
-    """The rows of ``docs`` that the rules keep, with all their columns. Texts aren't shuffled unless the rejected keys are many."""
-    slim = docs.select("doc_id", "text", "lang", "source")
-    key = F.xxhash64("doc_id", "text", "lang", "source")
-    measured = stage(with_metrics(with_counts(slim)).withColumn(f"{_P}key", key).drop("text"), "quality")
-    limits = stage(fences(sketches(measured), min_group, reach), "fences")
-    out = stage(judged(measured, limits).filter(~F.col(f"{_P}kept")).select(f"{_P}key").distinct(), "rejected")
-    return docs.withColumn(f"{_P}key", key).join(out, f"{_P}key", "left_anti").drop(f"{_P}key")
+    """The rows of ``docs`` that the rules keep, with all their columns. Counts are taken in both passes, so that no text is exchanged."""
+    limits = stage(fences(sketches(with_metrics(with_counts(docs.select("text", "lang", "source")))), min_group, reach), "fences")
+    rows = docs.select(F.struct(*docs.columns).alias(f"{_P}row"), "text", "lang", "source")
+    return judged(with_metrics(with_counts(rows)), limits).filter(f"{_P}kept").select(f"{_P}row.*")
