@@ -153,3 +153,37 @@ def changes_json(df: DataFrame, cols: list[str]) -> Column:
 
 def any_changed(fields: list[str], old: str = "old", new: str = "new") -> Column:
     return reduce(lambda a, b: a | b, [~F.col(f"{old}.{c}").eqNullSafe(F.col(f"{new}.{c}")) for c in fields])
+
+
+def create_overlay(base: DataFrame, satellites: dict[str, tuple[DataFrame, str]], wanted: DataFrame, key: str, revision: DataFrame) -> dict[str, DataFrame]:
+    """New sparse revisions for ``wanted`` keys that have none, with copies of the base's satellite rows."""
+    fresh = base.join(wanted.select(key), key, "left_semi").join(revision.select(key), key, "left_anti")
+    keys = fresh.select(F.col(key).alias("__pl_k"))
+    return {"revisions": fresh.select(key)} | {n: s.join(keys, F.col(fk) == F.col("__pl_k"), "left_semi") for n, (s, fk) in satellites.items()}
+
+
+def drop_orphan_parents(revision: DataFrame, key: str, parent: str, is_parent: str) -> DataFrame:
+    """Revisions without the parents that no row points to any more."""
+    used = revision.filter(F.col(parent).isNotNull()).select(F.col(parent).alias("__pl_p")).distinct()
+    orphans = revision.filter(F.col(is_parent)).join(used, F.col(key) == F.col("__pl_p"), "left_anti").select(F.col(key).alias("__pl_o"))
+    return revision.join(orphans, F.col(key) == F.col("__pl_o"), "left_anti")
+
+
+def from_cache(df: DataFrame, cache: DataFrame, on: list[str], fetched: str, now: Column, days: int = 30, score: str = "score", least: float = 0.5) -> DataFrame:
+    """Rows with the geocoding result of a cache that is fresh and sure enough; the call itself stays outside, as a table."""
+    from placeloom.functions.numbers import is_fresh
+
+    usable = cache.filter(is_fresh(F.col(fetched), now, days) & (F.col(score) > least))
+    return df.join(usable.drop(fetched), on, "left")
+
+
+def cohort_changes(df: DataFrame, key: str, cohort: str, fields: dict[str, str]) -> DataFrame:
+    """(key, cohort, changes as JSON): the fields whose suggestion differs from the present value."""
+    parts = [F.when(F.col(s).isNotNull() & ~F.col(s).eqNullSafe(F.col(c)), F.struct(F.lit(c).alias("field"), F.col(c).cast("string").alias("old"), F.col(s).cast("string").alias("new"))) for c, s in fields.items()]
+    changes = F.filter(F.array(*parts), lambda x: x.isNotNull())
+    return df.withColumn("changes", changes).filter(F.size("changes") > 0).select(key, F.lit(cohort).alias("cohort"), F.to_json("changes").alias("changes"))
+
+
+def grouped_suggestions(df: DataFrame, key: str, value: str) -> DataFrame:
+    """Keys grouped by the value that is proposed for them."""
+    return df.filter(F.col(value).isNotNull()).groupBy(value).agg(F.array_sort(F.collect_set(key)).alias("keys"), F.countDistinct(key).alias("n"))

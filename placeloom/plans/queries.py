@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from placeloom.plans import entity_queries, pipeline_queries, registry, relational_queries, text_queries  # noqa: F401
+from placeloom.plans import entity_queries, more_queries, pipeline_queries, registry, relational_queries, text_queries  # noqa: F401
 
 
 def queries() -> dict[str, registry.Query]:
