@@ -149,7 +149,7 @@ def _(t: Tables) -> DataFrame:
 
 @query("first_service_distance", f"""
 WITH p AS ({_PROBES}), q AS ({_POINTS}), d AS (SELECT probe, action, point, {_HAV.format('p.lat', 'p.lon', 'q.lat', 'q.lon')} AS m FROM p, q), n AS (SELECT *, row_number() OVER (PARTITION BY probe, action ORDER BY m, point) AS rn, count(*) OVER (PARTITION BY probe, action) AS c FROM d WHERE m <= 100000), o AS (SELECT * FROM n WHERE rn = 1)
-SELECT action, round(avg(m), 2) AS mean_distance, round(avg(c), 2) AS mean_solutions FROM o GROUP BY 1 UNION ALL SELECT 'TOUTES_ACTIONS', round(avg(m), 2), round(avg(c), 2) FROM o""")
+SELECT action, round(avg(m), 3) AS mean_distance, round(avg(c), 3) AS mean_solutions FROM o GROUP BY 1 UNION ALL SELECT 'TOUTES_ACTIONS', round(avg(m), 3), round(avg(c), 3) FROM o""")
 def _(t: Tables) -> DataFrame:
     return enrichment.first_service_distance(_probes(t), _points(t).withColumnRenamed("point", "identifiant_unique"))
 

@@ -222,9 +222,9 @@ def _(t: Tables) -> DataFrame:
 
 
 @query("first_union_merge", """
-SELECT l_orderkey, arg_min(l_shipdate, l_linenumber * 1000000 + l_partkey) AS first_ship, string_agg(DISTINCT l_returnflag, ',' ORDER BY l_returnflag) AS flags FROM lineitem GROUP BY 1""")
+SELECT l_orderkey, arg_min(l_shipdate, l_linenumber::BIGINT * 1000000000000 + l_partkey * 100000 + date_diff('day', TIMESTAMP '1970-01-01', l_shipdate)) AS first_ship, string_agg(DISTINCT l_returnflag, ',' ORDER BY l_returnflag) AS flags FROM lineitem GROUP BY 1""")
 def _(t: Tables) -> DataFrame:
-    rows = t.lineitem.select("l_orderkey", "l_shipdate", (F.col("l_linenumber") * 1000000 + F.col("l_partkey")).alias("o"), F.array("l_returnflag").alias("flags"))
+    rows = t.lineitem.select("l_orderkey", "l_shipdate", (F.col("l_linenumber").cast("long") * 1000000000000 + F.col("l_partkey") * 100000 + F.unix_date(F.to_date("l_shipdate"))).alias("o"), F.array("l_returnflag").alias("flags"))
     return rel.merge_duplicates(rows, "l_orderkey", "o", ["l_shipdate"], ["flags"]).select("l_orderkey", F.col("l_shipdate").alias("first_ship"), F.array_join("flags", ",").alias("flags"))
 
 
