@@ -1,7 +1,7 @@
 """Personal data: base rules, and a character-level bidirectional LSTM with CRF transitions that adds spans.
 
 The tagger is trained in numpy on the driver from labelled spans of a bounded sample of documents (TRAIN_DOCS texts that
-have a digit or an at sign, the least by hash; at most TRAIN_WINDOWS windows around their spans). For decoding, every
+have a digit or an at sign, the least by hash in a hash sample of SAMPLE_DOCS documents; at most TRAIN_WINDOWS windows around their spans). For decoding, every
 text is cut into regions around each digit and at sign; a region without either can't hold a span, as every labelled kind
 has one. Regions are covered by overlapping windows; emissions of windows are blended by distance from the window's edge,
 and one Viterbi pass over the whole region reconciles them globally. A decoded span is added if it overlaps no base span, has its kind's shape
@@ -31,6 +31,7 @@ PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 KINDS = ("email", "ip", "card", "phone")
 
 TRAIN_DOCS = 1500
+SAMPLE_DOCS = 30_000
 TRAIN_WINDOWS = 1600
 EPOCHS = 8
 LEAST_STEPS = 300
@@ -329,8 +330,12 @@ def digest(spans: list[tuple[str, int, int]]) -> str:
 
 
 def train(docs: DataFrame, limit: int = TRAIN_DOCS) -> Tagger | None:
-    """A tagger fitted to the labelled spans of at most ``limit`` texts of at most 4000 characters each; None without spans."""
-    some = docs.filter(F.col("text").rlike("[0-9@]") & (F.length("text") <= 4000)).select(F.xxhash64("text").alias("h"), "text")
+    """A tagger fitted to the labelled spans of at most ``limit`` texts of at most 4000 characters each; None without spans.
+
+    The texts come from a hash sample of about ``SAMPLE_DOCS`` documents, so that what tasks send doesn't grow with their number."""
+    h = F.xxhash64("text")
+    every = max(1, docs.count() // SAMPLE_DOCS)
+    some = docs.select("text").filter((F.pmod(h, F.lit(every)) == 0) & F.col("text").rlike("[0-9@]") & (F.length("text") <= 4000)).select(h.alias("h"), "text")
     texts = [r["text"] for r in some.orderBy("h", "text").limit(limit).collect()]  # bounded
     codes, tags = training_windows(list(dict.fromkeys(texts)))
     return Tagger().fit(codes, tags) if tags.any() else None
