@@ -121,8 +121,10 @@ def test_pii_base_equals_brute_force(spark):
     rng = random.Random(2)
     pieces = ["a.b@c.de", "x@y", "@", "a@b@c.d.e", "1.2.3.4", "300.1.1.1", "1.2.3.4.5.6.7.8", "001.2.3.255", "4111 1111 1111 1111", "4111-1111-1111-1112", "+33 (0)1 23 45 67 89", "+1-2", "é", "\n", "12", "  ", "a%b+c@d-e.f-g"]
     texts = ["".join(rng.choice(pieces) + rng.choice(["", " ", "."]) for _ in range(rng.randint(0, 14))) for _ in range(300)] + [None, "", "9" * 50_000, "a" * 50_000 + "@"]
-    for t in texts:
-        assert sorted(pii.base_spans(t or "")) == sorted(brute.pii(t if t is None or len(t) < 10_000 else t[:0])) or len(t or "") >= 10_000
+    short = [t for t in texts if len(t or "") < 10_000]  # the plain rules are quadratic on the long ones
+    for t in short:
+        assert sorted(pii.base_spans(t or "")) == sorted(brute.pii(t))
+    assert pii.base_spans("9" * 50_000) == [] and pii.base_spans("a" * 50_000 + "@") == []
     df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
     for r in pii.find(df).collect():
         want = brute.pii(texts[r["doc_id"]]) if len(texts[r["doc_id"]] or "") < 10_000 else []
@@ -248,7 +250,7 @@ def test_mixing(spark, docs, none, clashing):
     for s, t in told.items():
         taken = sum(r["taken"] for r in out if source[r["doc_id"]] == s)
         assert abs(want[s] - t) < 1e-6 * max(1, t) and abs(taken - t) < 0.1 * t
-    assert all(0 <= r["taken"] <= 2 * r["size"] for r in out) and out == mixing.mix_report(df).collect() or True
+    assert all(0 <= r["taken"] <= 2 * r["size"] for r in out)
     assert {(r["doc_id"], r["taken"]) for r in out} == {(r["doc_id"], r["taken"]) for r in mixing.mix_report(df).collect()}
     mixed = mixing.mix_documents(clashing)
     copies = {r["doc_id"]: r["n"] for r in mixed.groupBy("doc_id").agg(F.count("*").alias("n")).collect()}
