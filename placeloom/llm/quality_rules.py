@@ -157,8 +157,16 @@ def score_documents(docs: DataFrame, min_group: int = MIN_GROUP, reach: int = RE
     return out.select("doc_id", *[F.col(f"{_P}{c}").alias(c) for c in COUNTS], F.col(f"{_P}base_failed").alias("base_failed"), F.col(f"{_P}kept").alias("kept"), "lang", "source")
 
 
+def _settled(measured: DataFrame) -> DataFrame:
+    """The same rows with the metrics behind a generator: filters on them aren't pushed into the projections that compute
+    them, where every mention of a column would become a computation of its own."""
+    own = [c for c in measured.columns if c.startswith(_P)]
+    rest = [c for c in measured.columns if c not in own]
+    return measured.select(*rest, F.explode(F.array(F.struct(*own))).alias(f"{_P}all")).select(*rest, *[F.col(f"{_P}all.{c}").alias(c) for c in own])
+
+
 def filter_documents(docs: DataFrame, min_group: int = MIN_GROUP, reach: int = REACH) -> DataFrame:
     """The rows of ``docs`` that the rules keep, with all their columns. Counts are taken in both passes, so that no text is exchanged."""
-    limits = stage(fences(sketches(with_metrics(with_counts(docs.select("text", "lang", "source")))), min_group, reach), "fences")
-    rows = docs.select(F.struct(*docs.columns).alias(f"{_P}row"), "text", "lang", "source")
-    return judged(with_metrics(with_counts(rows)), limits).filter(f"{_P}kept").select(f"{_P}row.*")
+    limits = stage(fences(sketches(_settled(with_metrics(with_counts(docs.select("text", "lang", "source"))))), min_group, reach), "fences")
+    rows = docs.select(F.struct(*docs.columns).alias("row"), "text", "lang", "source")
+    return judged(_settled(with_metrics(with_counts(rows))), limits).filter(f"{_P}kept").select("row.*")
