@@ -1,8 +1,11 @@
 """Line dedup by a log-template tree (native DataFrame functions only).
 
 Lines are parsed at fixed depth: the tree branches by token count and by the leading tokens, and tokens with a digit or an
-at sign are variable fields from the start. Within a leaf, a token is constant at its position if it stands there in at
-least ``min_docs`` (document, line) pairs, and a variable field otherwise; the template of a line keeps its constants, if
+at sign are variable fields from the start. A token's support is the number of (document, line) pairs of its leaf that
+have it at its position. The support of a line's group is that of the rarest token among the most frequent ``similarity``
+of its tokens: so many lines agree with it that far. A token is constant if it has at least ``share`` of the group's
+support and ``min_docs``, and a variable field otherwise, so that fields whose values recur stay fields in a large corpus,
+and a rare template keeps its constants beside a frequent one in the same leaf. The template of a line keeps its constants, if
 they make up at least ``similarity`` of it, and else is the line itself. That is the fixed-depth parser with its leaf
 merging stated without an order of arrival, so that it is a composition of aggregations. Templates that recur in at least
 ``min_docs`` documents are dropped from all documents but the first (smallest doc_id) that has them.
@@ -26,6 +29,7 @@ DEPTH = 3
 MIN_DOCS = 3
 MIN_TOKENS = 3
 SIMILARITY = 0.7
+SHARE = 0.5
 FIELD = "<*>"
 FILTER_BITS = 24
 
@@ -81,21 +85,24 @@ def _lines_of(docs: DataFrame, leaves: DataFrame, min_tokens: int, depth: int) -
     return near.select("leaf", "line").distinct().join(leaves, "leaf", "left_semi")
 
 
-def recurring(lines: DataFrame, docs: DataFrame, min_docs: int = MIN_DOCS, depth: int = DEPTH, similarity: float = SIMILARITY, min_tokens: int = MIN_TOKENS) -> DataFrame:
+def recurring(lines: DataFrame, docs: DataFrame, min_docs: int = MIN_DOCS, depth: int = DEPTH, similarity: float = SIMILARITY, min_tokens: int = MIN_TOKENS, share: float = SHARE) -> DataFrame:
     """(k1, k2, first_doc) of the masked lines whose template recurs."""
     distinct = stage(lines.groupBy("k1", "k2", "leaf").agg(F.count(F.lit(1)).alias("n"), F.min("doc_id").alias("first_doc")), "lines")
     leaves = distinct.groupBy("leaf").agg(F.sum("n").alias("support"), F.count(F.lit(1)).alias("kinds")).filter((F.col("support") >= min_docs) & (F.col("kinds") > 1)).select("leaf")
     leaves = stage(leaves, "leaves")
     texts = _lines_of(docs, leaves, min_tokens, depth).select("leaf", "line", *_keys(F.col("line")))
     shared = stage(texts.join(distinct.select("k1", "k2", "n"), ["k1", "k2"]), "shared").select("leaf", "k1", "k2", "n", F.posexplode(F.split("line", " ")).alias("pos", "token"))
-    constants = shared.groupBy("leaf", "pos", "token").agg(F.sum("n").alias("support")).filter((F.col("support") >= min_docs) & (F.col("token") != FIELD)).select("leaf", "pos", "token", F.lit(True).alias("constant"))
-    token = F.when(F.col("constant"), F.col("token")).otherwise(FIELD)
+    supports = shared.groupBy("leaf", "pos", "token").agg(F.sum("n").alias("support")).filter((F.col("support") >= min_docs) & (F.col("token") != FIELD))
+    ranked = F.sort_array(F.transform("t", lambda x: x["support"]), asc=False)
+    least = F.greatest(F.lit(min_docs), share * F.get(ranked, F.ceil(similarity * F.size("t")).cast("int") - 1))
+    token = lambda x: F.when(x["support"] >= F.col("least"), x["token"]).otherwise(FIELD)
     parsed = (
-        shared.join(constants, ["leaf", "pos", "token"], "left")
+        shared.join(supports, ["leaf", "pos", "token"], "left")
         .groupBy("k1", "k2")
-        .agg(F.array_sort(F.collect_list(F.struct("pos", token.alias("token")))).alias("t"), F.count("constant").alias("c"))
-        .filter(F.col("c") >= similarity * F.size("t"))
-        .select("k1", "k2", *_keys(F.array_join(F.transform("t", lambda x: x["token"]), " "), "g"))
+        .agg(F.array_sort(F.collect_list(F.struct("pos", "token", F.coalesce("support", F.lit(0)).alias("support")))).alias("t"))
+        .withColumn("least", least)
+        .filter(F.size(F.filter("t", lambda x: x["support"] >= F.col("least"))) >= similarity * F.size("t"))
+        .select("k1", "k2", *_keys(F.array_join(F.transform("t", token), " "), "g"))
     )
     templated = distinct.join(parsed, ["k1", "k2"], "left").select("k1", "k2", "n", "first_doc", F.coalesce("g1", "k1").alias("t1"), F.coalesce("g2", "k2").alias("t2"))
     templated = stage(templated, "templates")
@@ -103,11 +110,11 @@ def recurring(lines: DataFrame, docs: DataFrame, min_docs: int = MIN_DOCS, depth
     return templated.join(often, ["t1", "t2"]).select("k1", "k2", F.col("first").alias("first_doc"))
 
 
-def dedup_lines(docs: DataFrame, min_docs: int = MIN_DOCS, depth: int = DEPTH, similarity: float = SIMILARITY, min_tokens: int = MIN_TOKENS) -> DataFrame:
+def dedup_lines(docs: DataFrame, min_docs: int = MIN_DOCS, depth: int = DEPTH, similarity: float = SIMILARITY, min_tokens: int = MIN_TOKENS, share: float = SHARE) -> DataFrame:
     """One row per row of ``docs``: doc_id, text without its dropped lines, n_lines, n_dropped."""
     slim = docs.select("doc_id", "text")
     lines = stage(document_lines(slim, min_tokens, depth), "keys")
-    drops = recurring(lines, slim, min_docs, depth, similarity, min_tokens)
+    drops = recurring(lines, slim, min_docs, depth, similarity, min_tokens, share)
     hits = (
         lines.select("doc_id", "k1", "k2")
         .join(drops, ["k1", "k2"])

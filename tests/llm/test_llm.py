@@ -289,6 +289,15 @@ def test_line_dedup(spark, docs, none, clashing):
     assert line_dedup.dedup_lines(clashing).count() == len(corpus()) and line_dedup.dedup_lines(none).count() == 0
 
 
+def test_line_dedup_fields_whose_values_recur(spark):
+    names, cities = [f"name{c}" for c in "abcdefghijkl"], [f"city{c}" for c in "abcdefghijkl"]
+    lines = [f"posted in forum by {n} from {c}" for n in names for c in cities]
+    lines += [f"posted in forum some rare {w} notice" for w in ("red", "blue", "green", "pink")]
+    df = spark.createDataFrame(list(enumerate(lines)), "doc_id long, text string")
+    kept = [r["doc_id"] for r in line_dedup.dedup_lines(df).filter("n_dropped = 0").collect()]
+    assert sorted(kept) == [0, 144]
+
+
 def test_mil_learns_on_held_out(spark):
     rng = random.Random(12)
     good = [prose(rng, rng.randint(30, 300)) for _ in range(300)]
