@@ -87,27 +87,34 @@ def _lines_of(docs: DataFrame, leaves: DataFrame, min_tokens: int, depth: int) -
 
 def recurring(lines: DataFrame, docs: DataFrame, min_docs: int = MIN_DOCS, depth: int = DEPTH, similarity: float = SIMILARITY, min_tokens: int = MIN_TOKENS, share: float = SHARE) -> DataFrame:
     """(k1, k2, first_doc) of the masked lines whose template recurs."""
-    distinct = stage(lines.groupBy("k1", "k2", "leaf").agg(F.count(F.lit(1)).alias("n"), F.min("doc_id").alias("first_doc")), "lines")
+    pairs = lines.distinct()  # rows may share their doc_id
+    distinct = stage(pairs.groupBy("k1", "k2", "leaf").agg(F.count(F.lit(1)).alias("n"), F.min("doc_id").alias("first_doc")), "lines")
     leaves = distinct.groupBy("leaf").agg(F.sum("n").alias("support"), F.count(F.lit(1)).alias("kinds")).filter((F.col("support") >= min_docs) & (F.col("kinds") > 1)).select("leaf")
     leaves = stage(leaves, "leaves")
     texts = _lines_of(docs, leaves, min_tokens, depth).select("leaf", "line", *_keys(F.col("line")))
     shared = stage(texts.join(distinct.select("k1", "k2", "n"), ["k1", "k2"]), "shared").select("leaf", "k1", "k2", "n", F.posexplode(F.split("line", " ")).alias("pos", "token"))
     supports = shared.groupBy("leaf", "pos", "token").agg(F.sum("n").alias("support")).filter((F.col("support") >= min_docs) & (F.col("token") != FIELD))
-    ranked = F.sort_array(F.transform("t", lambda x: x["support"]), asc=False)
-    least = F.greatest(F.lit(min_docs), share * F.get(ranked, F.ceil(similarity * F.size("t")).cast("int") - 1))
-    token = lambda x: F.when(x["support"] >= F.col("least"), x["token"]).otherwise(FIELD)
-    parsed = (
+    # Those with enough frequent tokens: the group's support is min_docs at least, and so many tokens are constant.
+    grouped = (
         shared.join(supports, ["leaf", "pos", "token"], "left")
         .groupBy("k1", "k2")
-        .agg(F.array_sort(F.collect_list(F.struct("pos", "token", F.coalesce("support", F.lit(0)).alias("support")))).alias("t"))
-        .withColumn("least", least)
-        .filter(F.size(F.filter("t", lambda x: x["support"] >= F.col("least"))) >= similarity * F.size("t"))
-        .select("k1", "k2", *_keys(F.array_join(F.transform("t", token), " "), "g"))
+        .agg(F.array_sort(F.collect_list(F.struct("pos", "token", F.coalesce("support", F.lit(0)).alias("support")))).alias("t"), F.count("support").alias("c"))
+        .filter(F.col("c") >= similarity * F.size("t"))
     )
+    group = F.get(F.sort_array("t.support", asc=False), F.ceil(similarity * F.size("t")).cast("int") - 1)
+    token = lambda x: F.when(x["support"] >= F.col("least"), x["token"]).otherwise(FIELD)
+    general = F.array_join(F.transform("t", token), " ")
+    parsed = grouped.withColumn("least", F.greatest(F.lit(min_docs), share * group)).select("k1", "k2", *_keys(general, "g"))
     templated = distinct.join(parsed, ["k1", "k2"], "left").select("k1", "k2", "n", "first_doc", F.coalesce("g1", "k1").alias("t1"), F.coalesce("g2", "k2").alias("t2"))
     templated = stage(templated, "templates")
-    often = templated.groupBy("t1", "t2").agg(F.sum("n").alias("docs"), F.min("first_doc").alias("first")).filter(F.col("docs") >= min_docs)
-    return templated.join(often, ["t1", "t2"]).select("k1", "k2", F.col("first").alias("first_doc"))
+    sums = templated.groupBy("t1", "t2").agg(F.sum("n").alias("pairs"), F.max("n").alias("docs"), F.min("first_doc").alias("first")).filter(F.col("pairs") >= min_docs)
+    sums = stage(sums, "sums")
+    # A line in min_docs documents settles its template; else, each line is in few documents, and these are counted.
+    unsure = templated.join(sums.filter(F.col("docs") < min_docs).select("t1", "t2"), ["t1", "t2"]).select("k1", "k2", "t1", "t2")
+    counted = lines.select("doc_id", "k1", "k2").join(unsure, ["k1", "k2"]).select("t1", "t2", "doc_id").distinct().groupBy("t1", "t2").agg(F.count(F.lit(1)).alias("docs"))
+    few = counted.filter(F.col("docs") < min_docs)
+    often = sums.join(few, ["t1", "t2"], "left_anti")
+    return templated.join(often.select("t1", "t2", "first"), ["t1", "t2"]).select("k1", "k2", F.col("first").alias("first_doc"))
 
 
 def dedup_lines(docs: DataFrame, min_docs: int = MIN_DOCS, depth: int = DEPTH, similarity: float = SIMILARITY, min_tokens: int = MIN_TOKENS, share: float = SHARE) -> DataFrame:

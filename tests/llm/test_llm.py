@@ -298,6 +298,16 @@ def test_line_dedup_fields_whose_values_recur(spark):
     assert sorted(kept) == [0, 144]
 
 
+def test_line_dedup_counts_documents(spark):
+    line = lambda x: f"total price of {x} is high"
+    few = [(0, "\n".join(map(line, ("apples", "pears")))), (1, line("plums"))]
+    again = [(2, "a line that stands here once")] * 3 + [(3, "a line that stands here once")]
+    more = [(4, "total weight of apples is high\ntotal weight of pears is high"), (5, "total weight of plums is high"), (6, "total weight of limes is high")]
+    run = lambda rows: sorted((r["doc_id"], r["n_dropped"]) for r in line_dedup.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect())
+    assert run(few + again) == [(0, 0), (1, 0), (2, 0), (2, 0), (2, 0), (3, 0)]
+    assert run(more) == [(4, 0), (5, 1), (6, 1)]
+
+
 def test_mil_learns_on_held_out(spark):
     rng = random.Random(12)
     good = [prose(rng, rng.randint(30, 300)) for _ in range(300)]
