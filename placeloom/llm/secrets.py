@@ -2,14 +2,14 @@
 
 One pass over the texts finds the base spans and further candidates: long mixed tokens, and values after other key words.
 The hashes of all candidates are aggregated over the corpus by distinct repositories and owners. A value that many owners
-hold is a copied example; a value of one or a few owners that looks random is taken as live. Candidates of the method are
+or many repositories hold is a copied example; a value of a few of both that looks random is taken as live. Candidates of the method are
 added as spans of kind ``live`` only if they are owner-specific and overlap no base span; base spans always stay.
 
-Counting is two partial aggregations (distinct pairs, then counts), so a value that a third of the corpus holds is
-combined map-side. Only hashes of values travel, never the values.
+Counting is distinct pairs, dealt out by pair, and then partial aggregations, so a value that a third of the corpus holds
+gathers in no task. Only hashes of values travel, never the values.
 
 Defined cases: null text is empty; null repository or owner counts as one of its own; repeated rows repeat their spans
-but add no owners; an empty table gives an empty result; further columns are ignored.
+but add no owners and, where documents are the repositories, no repositories; an empty table gives an empty result; further columns are ignored.
 """
 
 from __future__ import annotations
@@ -39,6 +39,7 @@ KINDS = ("assign", "access", "hex", "live")
 TOKEN = re.compile(r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_=-]{20,}")
 LEAST_ENTROPY = 3.2
 MAX_OWNERS = 2
+MAX_REPOS = 4
 
 
 def base_spans(text: str) -> list[tuple[str, int, int, str]]:
@@ -107,16 +108,17 @@ def _digest(spans: Column) -> Column:
     return F.array_join(F.transform(ordered, lambda s: F.concat_ws(":", s["kind"], s["a"].cast("string"), s["b"].cast("string"))), ",")
 
 
-def scan(docs: DataFrame, repo: Column | None = None, owner: Column | None = None, max_owners: int = MAX_OWNERS) -> DataFrame:
+def scan(docs: DataFrame, repo: Column | None = None, owner: Column | None = None, max_owners: int = MAX_OWNERS, max_repos: int = MAX_REPOS) -> DataFrame:
     """One row per row of ``docs``: doc_id, base (spans), spans (with the live ones added), n_live, n_copied.
 
+    A repository is a document and an owner a source, unless they are given.
     n_live and n_copied count a document's values by the verdict, whatever their kind.
     """
-    found = candidates(docs, F.concat_ws("/", "source", "lang") if repo is None else repo, F.col("source") if owner is None else owner)
+    found = candidates(docs, F.col("doc_id") if repo is None else repo, F.col("source") if owner is None else owner)
     some = found.filter(F.size("spans") > 0)
     counts = ownership(some)
     values = some.select("doc_id", F.explode("spans.value").alias("value")).distinct().join(counts, "value")
-    verdicts = values.groupBy("doc_id").agg(F.collect_set(F.when(F.col("owners") > max_owners, F.col("value"))).alias("copied")).withColumnRenamed("doc_id", "__pl_doc")
+    verdicts = values.groupBy("doc_id").agg(F.collect_set(F.when((F.col("owners") > max_owners) | (F.col("repos") > max_repos), F.col("value"))).alias("copied")).withColumnRenamed("doc_id", "__pl_doc")
     joined = found.select("doc_id", "spans").join(verdicts, F.col("doc_id").eqNullSafe(F.col("__pl_doc")), "left")
     copied = lambda s: F.coalesce(F.array_contains(F.col("copied"), s["value"]), F.lit(False))
     return joined.select(

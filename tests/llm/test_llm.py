@@ -178,6 +178,14 @@ def test_secrets(spark):
     assert "live:" in out[0]["spans"] and all("live:" not in out[i]["spans"] and out[i]["n_copied"] == 1 for i in range(8, 13))
 
 
+def test_secrets_copied_within_one_source(spark):
+    copied, live = "Ab1Cd2Ef3Gh4Ij5Kl6Mn7Op8", "Zx9Qw3Er7Ty1Ui5Op8As2Df4"
+    rows = [(i, f"sample {copied} token=longenough9", "hot", "en") for i in range(10)] + [(10, f"own {live}", "hot", "en")] * 10
+    out = secrets.report(secrets.scan(spark.createDataFrame(rows, "doc_id long, text string, source string, lang string"))).collect()
+    for r in out:
+        assert (r["n_live"], r["n_copied"], "live:" in r["spans"]) == ((0, 2, False) if r["doc_id"] < 10 else (1, 0, True))
+
+
 def test_quality_counts_equal_brute_force(spark, docs):
     got = {r["doc_id"]: r for r in quality_rules.score_documents(docs).collect()}
     for i, text, *_ in corpus():
