@@ -35,9 +35,12 @@ HEX = re.compile(r"(?<![0-9a-f])[0-9a-f]{32,}")
 CUES = (b"password", b"passwd", b"secret", b"token", b"apikey", b"api_key")
 KINDS = ("assign", "access", "hex", "live")
 
-#: Further candidates: long tokens that mix cases and digits, or upper-case hex, or follow a word for authorisation.
+#: Further candidates: long tokens that mix letters and digits, upper-case hex among them, and shorter ones that follow a word for authorisation.
 TOKEN = re.compile(r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_=-]{20,}")
 LEAST_ENTROPY = 3.2
+KEYWORD = re.compile(r"""(?<![A-Za-z])(?:pwd|bearer|auth|authorization|private_?key)(?:["']?\x20*[:=]\x20*["']?|\x20+["']?)([A-Za-z0-9+/_.=-]{7,}[A-Za-z0-9+/_=-])""", re.ASCII | re.IGNORECASE)
+KEYWORD_CUES = ("pwd", "bearer", "auth", "private")
+KEYWORD_ENTROPY = 2.5
 MAX_OWNERS = 2
 MAX_REPOS = 4
 
@@ -60,13 +63,21 @@ def entropy(value: str) -> float:
 
 
 def extra_candidates(text: str, base: list[tuple[str, int, int, str]]) -> list[tuple[int, int, str]]:
-    """Random-looking tokens outside the base spans."""
+    """Random-looking values after key words, and random-looking tokens, outside the base spans and each other."""
     taken = [(a, b) for _, a, b, _ in base]
     out = []
+
+    def put(a: int, b: int, v: str, least: float) -> None:
+        if any(x.isdigit() for x in v) and any(x.isalpha() for x in v) and entropy(v) >= least and not any(x < b and a < y for x, y in taken):
+            taken.append((a, b))
+            out.append((a, b, v))
+
+    low = text.lower()
+    if any(c in low for c in KEYWORD_CUES):
+        for m in KEYWORD.finditer(text):
+            put(m.start(1), m.end(1), m[1], KEYWORD_ENTROPY)
     for m in TOKEN.finditer(text):
-        v = m[0]
-        if any(x.isdigit() for x in v) and any(x.isalpha() for x in v) and entropy(v) >= LEAST_ENTROPY and not any(a < m.end() and m.start() < b for a, b in taken):
-            out.append((m.start(), m.end(), v))
+        put(m.start(), m.end(), m[0], LEAST_ENTROPY)
     return out
 
 

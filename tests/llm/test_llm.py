@@ -186,6 +186,14 @@ def test_secrets_copied_within_one_source(spark):
         assert (r["n_live"], r["n_copied"], "live:" in r["spans"]) == ((0, 2, False) if r["doc_id"] < 10 else (1, 0, True))
 
 
+def test_secret_candidates_after_key_words():
+    found = lambda t: [x[2] for x in secrets.extra_candidates(t, secrets.base_spans(t))]
+    assert found("pwd: h4Ks92mQ, Authorization: Bearer q7Wz1Lp0x.") == ["h4Ks92mQ", "q7Wz1Lp0x"]
+    assert found("auth='Tr8kPw2m' private_key = Zx9Qw3Er7Ty1") == ["Tr8kPw2m", "Zx9Qw3Er7Ty1"]
+    assert found("authority2020 author 1999abcd, bearer certificates, pwd aaaaaaa1 and auth token=Tr8kPw2mQ") == []
+    assert found("bearer Zx9Qw3Er7Ty1Ui5Op8As2Df4") == ["Zx9Qw3Er7Ty1Ui5Op8As2Df4"]
+
+
 def test_quality_counts_equal_brute_force(spark, docs):
     got = {r["doc_id"]: r for r in quality_rules.score_documents(docs).collect()}
     for i, text, *_ in corpus():
