@@ -1,6 +1,8 @@
 """Bound queries on fixtures with keys beyond any id range, against brute force."""
 
 import datetime
+import math
+from collections import defaultdict
 
 import pytest
 
@@ -28,3 +30,31 @@ def test_recursive_succession_of_all_keys(spark, folder):
         want.add((k, chain[-1], str(day), all(x % 2 == 0 for x in links), all(x % 7 for x in links), len(links)))
     got = {tuple(r) for r in engine.queries()["recursive_succession"](spark, folder).collect()}
     assert got == want and max(r[0] for r in got) > 890
+
+
+def within(metres):
+    """{(probe, action): [(distance, point)]} by comparing every probe with every point."""
+    out = defaultdict(list)
+    for p in range(1, 91):
+        for q in range(1, 901):
+            a, x, b, y = 44 + p * 37 % 100 / 20, p * 53 % 100 / 20, 44 + q * 7919 % 1000 / 200, q * 104729 % 1000 / 200
+            h = math.sin(math.radians(b - a) / 2) ** 2 + math.cos(math.radians(a)) * math.cos(math.radians(b)) * math.sin(math.radians(y - x) / 2) ** 2
+            m = 2 * 6371000.0 * math.asin(min(1.0, math.sqrt(h)))
+            if m <= metres:
+                out[p, f"s{q % 5}"].append((m, q))
+    return out
+
+
+def test_distance_nearest_of_all_probes(spark, folder):
+    want = {key: (min(found)[0], len(found)) for key, found in within(40_000).items()}
+    got = {(r["p_probe"], r["action"]): (r["distance"], r["n_solutions"]) for r in engine.queries()["distance_nearest"](spark, folder).collect()}
+    assert got.keys() == want.keys() and max(p for p, _ in got) > 80
+    assert all(abs(got[k][0] - want[k][0]) < 0.01 and got[k][1] == want[k][1] for k in want)
+
+
+def test_first_service_distance_of_all_probes(spark, folder):
+    near = {key: (min(found)[0], len(found)) for key, found in within(100_000).items()}
+    got = {r["action"]: r for r in engine.queries()["first_service_distance"](spark, folder).collect()}
+    for action in ("TOUTES_ACTIONS", *(f"s{i}" for i in range(5))):
+        of = [v for (_, a), v in near.items() if action in (a, "TOUTES_ACTIONS")]
+        assert abs(got[action]["mean_distance"] - sum(m for m, _ in of) / len(of)) < 0.01 and abs(got[action]["mean_solutions"] - sum(n for _, n in of) / len(of)) < 0.01
