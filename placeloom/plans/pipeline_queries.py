@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import tempfile
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from placeloom.operators import cdc
@@ -40,10 +40,25 @@ def _actors(t: Tables) -> DataFrame:
     )
 
 
+def _siren(k: Column) -> Column:
+    """A company has the sites of three keys."""
+    return (100_000_000 + k - k % 3).cast("string")
+
+
+def _siret(k: Column) -> Column:
+    return F.concat(_siren(k), F.lpad((k % 3).cast("string"), 5, "0"))
+
+
 def _sites(t: Tables) -> DataFrame:
+    """The register: every part is a site, whose identifier holds the whole key. The SQL has the first parts only, and remainders of their keys."""
     k, size = F.col("p_partkey"), F.col("p_size")
-    siret = F.concat(F.lpad((k % 90).cast("string"), 9, "1"), F.lpad((k % 40).cast("string"), 5, "0"))
-    return t.part.filter(k < 150).select(siret.alias("siret"), (k % 7 < 3).alias("est_actif"), F.col("p_type").alias("naf"), F.lpad((size % 25 * 1000 + 75).cast("string"), 5, "0").alias("code_postal"), (size % 4).cast("string").alias("numero"), F.col("p_brand").alias("adresse_norm"), F.col("p_name").alias("nom")).distinct()
+    return t.part.select(_siret(k).alias("siret"), (k % 7 < 3).alias("est_actif"), F.col("p_type").alias("naf"), F.lpad((size % 25 * 1000 + 75).cast("string"), 5, "0").alias("code_postal"), (size % 4).cast("string").alias("numero"), F.col("p_brand").alias("adresse_norm"), F.col("p_name").alias("nom")).distinct()
+
+
+def _registered(t: Tables) -> DataFrame:
+    """Actors with identifiers of the register, where they have any."""
+    k = F.substring("identifiant_unique", 2, 20).cast("long")
+    return _actors(t).withColumns({"siren": F.when(k % 6 == 1, "").otherwise(_siren(k)), "siret": F.when(k % 3 == 0, "").otherwise(_siret(k))})
 
 
 def _services(t: Tables) -> DataFrame:
@@ -108,7 +123,7 @@ SELECT DISTINCT c.identifiant_unique, c.siret, remplacant_siret, CASE WHEN same
 FROM c LEFT JOIN (SELECT * FROM b WHERE rn = 1) b USING (identifiant_unique) LEFT JOIN u ON u.siren = c.siren""")
 def _(t: Tables) -> DataFrame:
     sites = _sites(t)
-    candidates = enrichment.closed_candidates(_actors(t), sites)
+    candidates = enrichment.closed_candidates(_registered(t), sites)
     units = sites.filter("est_actif").select(F.left("siret", F.lit(9)).alias("siren"), "est_actif").distinct()
     return enrichment.closed_cohorts(candidates, enrichment.replacements(candidates, sites), units).distinct()
 
@@ -117,18 +132,18 @@ def _(t: Tables) -> DataFrame:
 WITH {_ACTORS}, l AS (SELECT left(siret, 9) AS siren, siret, code_postal FROM sites WHERE est_actif), w AS (SELECT siren, max(siret) AS x FROM l GROUP BY 1 HAVING count(DISTINCT siret) = 1), z AS (SELECT siren, code_postal, max(siret) AS x FROM l GROUP BY 1, 2 HAVING count(DISTINCT siret) = 1)
 SELECT identifiant_unique, a.siren, coalesce(w.x, z.x) AS siret FROM a LEFT JOIN w ON w.siren = a.siren LEFT JOIN z ON z.siren = a.siren AND z.code_postal = a.code_postal WHERE length(a.siren) = 9 AND a.siret = '' AND coalesce(w.x, z.x) IS NOT NULL""")
 def _(t: Tables) -> DataFrame:
-    return enrichment.siret_from_siren(_actors(t), _sites(t))
+    return enrichment.siret_from_siren(_registered(t), _sites(t))
 
 
 @query("siren_from_siret", f"WITH {_ACTORS} SELECT identifiant_unique, siret, left(siret, 9) AS siren FROM a WHERE length(siret) = 14 AND siren = '' AND left(siret, 9) IN (SELECT left(siret, 9) FROM sites WHERE est_actif)")
 def _(t: Tables) -> DataFrame:
-    return enrichment.siren_from_siret(_actors(t), _sites(t).select(F.left("siret", F.lit(9)).alias("siren"), "est_actif"))
+    return enrichment.siren_from_siret(_registered(t), _sites(t).select(F.left("siret", F.lit(9)).alias("siren"), "est_actif"))
 
 
 @query("director_names")
 def _(t: Tables) -> DataFrame:
     directors = _sites(t).select(F.left("siret", F.lit(9)).alias("siren"), F.lit("Customer").alias("dirigeant_nom"), F.lit("CUSTÔMER").alias("dirigeant_prenom")).distinct()
-    actors = _actors(t).withColumns({"nom_officiel": F.lit(""), "nom_commercial": F.lit(None).cast("string")})
+    actors = _registered(t).withColumns({"nom_officiel": F.lit(""), "nom_commercial": F.lit(None).cast("string")})
     return enrichment.director_names(actors, directors)
 
 

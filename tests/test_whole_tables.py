@@ -58,3 +58,24 @@ def test_first_service_distance_of_all_probes(spark, folder):
     for action in ("TOUTES_ACTIONS", *(f"s{i}" for i in range(5))):
         of = [v for (_, a), v in near.items() if action in (a, "TOUTES_ACTIONS")]
         assert abs(got[action]["mean_distance"] - sum(m for m, _ in of) / len(of)) < 0.01 and abs(got[action]["mean_solutions"] - sum(n for _, n in of) / len(of)) < 0.01
+
+
+def test_enrichment_from_the_whole_register(spark, folder):
+    rows = lambda name, *cols: [tuple(r) for r in engine.queries()[name](spark, folder).select("identifiant_unique", *cols).collect()]
+    keys, siren = range(1, 901), lambda k: str(100_000_000 + k - k % 3)
+    siret = lambda k: siren(k) + f"{k % 3:05}"
+    live = defaultdict(list)
+    for k in keys:
+        if k % 7 < 3:
+            live[siren(k)].append(k)
+    postcode = lambda k: k % 25  # noqa: E731, of an actor and of a site
+    closed = {(f"a{k}", siret(k), None, "closed_site" if live[siren(k)] else "closed_company") for k in keys if k % 7 > 2 and k % 3 and k % 7 - 1 > 0}
+    assert set(rows("closed_site_cohorts", "siret", "remplacant_siret", "suggest_cohort")) == closed and len({x[3] for x in closed}) == 2
+    assert set(rows("siren_from_siret", "siret", "siren")) == {(f"a{k}", siret(k), siren(k)) for k in keys if k % 6 == 1 and live[siren(k)]}
+    want = set()
+    for k in keys:
+        if k % 3 == 0:
+            near = live[siren(k)] if len(live[siren(k)]) == 1 else [x for x in live[siren(k)] if postcode(x) == postcode(k)]
+            want |= {(f"a{k}", siren(k), siret(x)) for x in near if len(near) == 1}
+    assert set(rows("siret_from_siren", "siren", "siret")) == want
+    assert set(rows("director_names", "siren")) == {(f"a{k}", siren(k)) for k in keys if k % 6 != 1 and k % 17}
