@@ -29,7 +29,7 @@ WITH RECURSIVE e AS (SELECT DISTINCT l_partkey AS u, 1000000 + l_suppkey * 50 +
 b AS (SELECT u, v FROM e UNION SELECT v, u FROM e), r AS (SELECT u AS node, u AS root FROM b UNION SELECT b.v, r.root FROM r JOIN b ON b.u = r.node WHERE r.root < b.v)
 SELECT node, min(root) AS component FROM r GROUP BY node""")
 def _(t: Tables) -> DataFrame:
-    e = t.lineitem.filter("l_quantity > 45").select(F.col("l_partkey").alias("src"), (1000000 + F.col("l_suppkey") * 50 + F.col("l_partkey") % 50).alias("dst"))
+    e = t.lineitem.select(F.col("l_partkey").alias("src"), (1000000 + F.col("l_suppkey") * 50 + F.col("l_partkey") % 50).alias("dst"))
     return graph.connected_components(e)
 
 
@@ -74,7 +74,7 @@ def _(t: Tables) -> DataFrame:
 
 @query("stacked_members", "SELECT l_orderkey, l_linenumber, n FROM (SELECT *, count(*) OVER (PARTITION BY round(l_extendedprice::DECIMAL(38,10), 0), l_tax::DECIMAL(38,10)) AS n FROM lineitem WHERE l_discount = 0.05) WHERE n > 1")
 def _(t: Tables) -> DataFrame:
-    rows = t.lineitem.filter("l_discount = 0.05").select("l_orderkey", "l_linenumber", F.round(F.col("l_extendedprice").cast("decimal(38,10)"), 0).alias("a"), "l_tax")
+    rows = t.lineitem.select("l_orderkey", "l_linenumber", F.round(F.col("l_extendedprice").cast("decimal(38,10)"), 0).alias("a"), "l_tax")
     return geo.stacked(rows, ["a", "l_tax"]).select("l_orderkey", "l_linenumber", F.col("n_stacked").alias("n"))
 
 

@@ -7,6 +7,7 @@ from collections import defaultdict
 import pytest
 
 from placeloom.plans import queries as engine
+from tests import oracle
 
 
 @pytest.fixture(scope="module")
@@ -79,3 +80,32 @@ def test_enrichment_from_the_whole_register(spark, folder):
             want |= {(f"a{k}", siren(k), siret(x)) for x in near if len(near) == 1}
     assert set(rows("siret_from_siren", "siren", "siret")) == want
     assert set(rows("director_names", "siren")) == {(f"a{k}", siren(k)) for k in keys if k % 6 != 1 and k % 17}
+
+
+@pytest.mark.parametrize("name,cut", [("rounding_and_floats", " WHERE l_quantity > 48"), ("similarity_scores", " WHERE l_quantity > 45"), ("stacked_members", " WHERE l_discount = 0.05"), ("anti_not_in_with_null", " WHERE o_orderkey < 100")])
+def test_all_rows(spark, data, name, cut):
+    """Against the bound SQL without its value filter."""
+    sql = engine.oracle_sql()[name]
+    assert sql.count(cut) == 1
+    oracle.same(engine.queries()[name](spark, data), oracle.connect(data), sql.replace(cut, ""))
+
+
+def test_components_of_all_rows(spark, data):
+    root = {}
+
+    def find(x):
+        while root.setdefault(x, x) != x:
+            x = root[x]
+        return x
+
+    for p, s in oracle.connect(data).execute("SELECT DISTINCT l_partkey, l_suppkey FROM lineitem").fetchall():
+        a, b = sorted((find(p), find(1000000 + s * 50 + p % 50)))
+        root[b] = a
+    assert {tuple(r) for r in engine.queries()["connected_components"](spark, data).collect()} == {(x, find(x)) for x in list(root)}
+
+
+def test_anti_join_reads_all_orders(spark, tmp_path):
+    out = str(tmp_path)
+    spark.range(1, 11).selectExpr("id AS c_custkey").write.parquet(f"{out}/customer.parquet")
+    spark.range(1, 6).selectExpr("id + 1000 AS o_orderkey", "id AS o_custkey").write.parquet(f"{out}/orders.parquet")
+    assert sorted(r[0] for r in engine.queries()["anti_not_in_with_null"](spark, out).collect()) == [6, 7, 8, 9, 10]
