@@ -91,16 +91,19 @@ WITH d AS (SELECT doc_id, string_split(text, chr(10)) AS ls FROM documents),
 x AS (SELECT doc_id, unnest(ls) AS line, unnest(range(len(ls))) AS i FROM d),
 m AS (
   SELECT doc_id, i, line, array_to_string(list_transform(regexp_extract_all(line, '[^\x20\x09-\x0D]+'), lambda w: CASE WHEN regexp_matches(w, '[0-9@]') THEN '<*>' ELSE w END), ' ') AS mk FROM x),
-u AS (SELECT mk, count(DISTINCT doc_id) AS n, min(doc_id) AS first_doc, string_split(mk, ' ') AS ts FROM m WHERE len(string_split(mk, ' ')) >= 3 GROUP BY mk),
+u AS (SELECT mk, count(DISTINCT doc_id) AS n, string_split(mk, ' ') AS ts FROM m WHERE len(string_split(mk, ' ')) >= 3 GROUP BY mk),
 lf AS (SELECT *, len(ts)::VARCHAR || ' ' || array_to_string(ts[1:3], ' ') AS leaf FROM u),
 gl AS (SELECT leaf FROM lf GROUP BY leaf HAVING sum(n) >= 3 AND count(*) > 1),
 tk AS (SELECT leaf, mk, n, unnest(ts) AS token, unnest(range(len(ts))) AS pos FROM lf WHERE leaf IN (SELECT leaf FROM gl)),
-cs AS (SELECT leaf, pos, token FROM tk WHERE token <> '<*>' GROUP BY ALL HAVING sum(n) >= 3),
+sp AS (SELECT leaf, pos, token, sum(n) AS support FROM tk WHERE token <> '<*>' GROUP BY ALL HAVING sum(n) >= 3),
+ls AS (
+  SELECT mk, list(tk.token ORDER BY tk.pos) AS tokens, list(coalesce(support, 0) ORDER BY tk.pos) AS supports, count(support) AS c, count(*) AS len
+  FROM tk LEFT JOIN sp ON tk.leaf = sp.leaf AND tk.pos = sp.pos AND tk.token = sp.token GROUP BY mk),
 gn AS (
-  SELECT tk.leaf, mk, string_agg(CASE WHEN cs.token IS NULL THEN '<*>' ELSE tk.token END, ' ' ORDER BY tk.pos) AS general, count(cs.token) AS c, count(*) AS len
-  FROM tk LEFT JOIN cs ON tk.leaf = cs.leaf AND tk.pos = cs.pos AND tk.token = cs.token GROUP BY tk.leaf, mk),
-tp AS (SELECT lf.mk, n, first_doc, coalesce(general, lf.mk) AS template FROM lf LEFT JOIN gn ON gn.mk = lf.mk AND c >= 0.7 * len),
-rc AS (SELECT template, min(first_doc) AS first_doc FROM tp GROUP BY 1 HAVING sum(n) >= 3),
+  SELECT mk, array_to_string(list_transform(range(1, len + 1), lambda j: CASE WHEN supports[j] >= 3 AND supports[j] >= 0.5::DOUBLE * list_reverse_sort(supports)[ceil(0.7::DOUBLE * len)::BIGINT] THEN tokens[j] ELSE '<*>' END), ' ') AS general
+  FROM ls WHERE c >= 0.7::DOUBLE * len),
+tp AS (SELECT mk, coalesce(general, mk) AS template FROM lf LEFT JOIN gn USING (mk)),
+rc AS (SELECT template, min(doc_id) AS first_doc FROM tp JOIN m USING (mk) GROUP BY 1 HAVING count(DISTINCT doc_id) >= 3),
 dr AS (SELECT mk, rc.first_doc FROM tp JOIN rc USING (template)),
 k AS (SELECT m.doc_id, i, line, (dr.mk IS NOT NULL AND m.doc_id <> dr.first_doc) AS dropped FROM m LEFT JOIN dr ON m.mk = dr.mk)
 SELECT doc_id, count(*)::BIGINT AS n_lines, count(*) FILTER (dropped)::BIGINT AS n_dropped, sha256(coalesce(string_agg(line, chr(10) ORDER BY i) FILTER (NOT dropped), '')) AS text_sha256
