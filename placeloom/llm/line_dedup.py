@@ -10,12 +10,14 @@ they make up at least ``similarity`` of it, and else is the line itself. That is
 merging stated without an order of arrival, so that it is a composition of aggregations. Templates that recur in at least
 ``min_docs`` documents are dropped from all documents but the first (smallest doc_id) that has them.
 
-Lines with fewer than ``min_tokens`` tokens, blank ones among them, are never dropped. Up to the last join
-only hashes move, and the texts of lines in leaves that need merging; each document is exchanged once.
+Texts are masked once: the masked lines of every document, their keys and the hash of each raw line are written to a
+staged table, from which supports, templates and the lines to drop are read. Lines with fewer than ``min_tokens`` tokens,
+blank ones among them, are never dropped. Mostly hashes move, and the texts of distinct lines in leaves that need merging;
+each document is exchanged once, with the hashes of the raw lines that it loses.
 
 Defined cases: null text stays null and has no lines; an empty text has one blank line; a line counts once for a document
-however often it stands in it; repeated rows with the same doc_id are one document; a null doc_id is a document of its own, last in order;
-an empty table gives an empty result; further columns are ignored.
+however often it stands in it; repeated rows with the same doc_id are one document; rows without a doc_id count as one
+document together, last in order, and keep all their lines; an empty table gives an empty result; further columns are ignored.
 """
 
 from __future__ import annotations
@@ -34,15 +36,13 @@ FIELD = "<*>"
 FILTER_BITS = 24
 
 
-def masked_lines(text: Column) -> Column:
-    """A text's lines with their tokens joined by one space, those with a digit or an at sign replaced.
-
-    Works on the whole text, so that a line costs no expression of its own, and skips replacements that have nothing to do."""
-    flat = F.translate(text, "\t\x0b\x0c\r", "    ")
-    flat = F.when(F.contains(flat, F.lit("  ")), F.regexp_replace(flat, " {2,}", " ")).otherwise(flat)
-    flat = F.trim(F.when(F.contains(flat, F.lit(" \n")) | F.contains(flat, F.lit("\n ")), F.regexp_replace(flat, " ?\n ?", "\n")).otherwise(flat))
-    fields = F.when(flat.rlike("[0-9@]"), F.regexp_replace(flat, "[^ \n]*[0-9@][^ \n]*", FIELD)).otherwise(flat)
-    return F.split(fields, "\n")
+def masked_line(line: Column) -> Column:
+    """A line's tokens joined by one space, those with a digit or an at sign replaced. Regular expressions run only where they find something."""
+    gaps = F.contains(line, F.lit("  "))
+    for c in "\t\x0b\x0c\r":
+        gaps |= F.contains(line, F.lit(c))
+    flat = F.trim(F.when(gaps, F.regexp_replace(line, "[ \t\x0b\x0c\r]+", " ")).otherwise(line))
+    return F.when(line.rlike("[0-9@]"), F.regexp_replace(flat, "(?<![^ ])[^ 0-9@]*+[0-9@][^ ]*+", FIELD)).otherwise(flat)
 
 
 def _tokens(line: Column) -> Column:
@@ -59,40 +59,36 @@ def _leaf(line: Column, depth: int) -> Column:
     return F.xxhash64(_tokens(line), F.substring_index(line, " ", depth))
 
 
-def _masked_lines(min_tokens: int) -> Column:
-    """Masked lines of a text that have enough tokens."""
-    return F.filter(masked_lines(F.col("text")), lambda m: _tokens(m) >= min_tokens)
-
-
 def document_lines(docs: DataFrame, min_tokens: int = MIN_TOKENS, depth: int = DEPTH) -> DataFrame:
-    """(doc_id, k1, k2, leaf): keys of the distinct masked lines of each document."""
-    keys = F.transform(_masked_lines(min_tokens), lambda m: F.struct(*_keys(m), _leaf(m, depth).alias("leaf")))
-    return docs.select("doc_id", F.explode(F.array_distinct(keys)).alias("x")).select("doc_id", "x.k1", "x.k2", "x.leaf")
+    """(doc_id, raw, line, k1, k2, leaf): for each distinct raw line of a row its hash, and its masked line with key and leaf.
+
+    The generator keeps the masking from being repeated for every column that is derived from it."""
+    both = F.transform(F.array_distinct(F.split("text", "\n")), lambda x: F.struct(F.xxhash64(x).alias("raw"), masked_line(x).alias("line")))
+    lines = docs.select("doc_id", F.explode(both).alias("x")).select("doc_id", "x.raw", "x.line").filter(_tokens(F.col("line")) >= min_tokens)
+    return lines.select("doc_id", "raw", "line", *_keys(F.col("line")), _leaf(F.col("line"), depth).alias("leaf"))
 
 
 def _position(leaf: Column) -> Column:
     return F.pmod(F.xxhash64(leaf, F.lit(7)), F.lit(1 << FILTER_BITS))
 
 
-def _lines_of(docs: DataFrame, leaves: DataFrame, min_tokens: int, depth: int) -> DataFrame:
-    """(leaf, line): the distinct masked lines that fall into the given leaves.
+def _lines_of(lines: DataFrame, leaves: DataFrame) -> DataFrame:
+    """(leaf, line, k1, k2): the distinct masked lines that fall into the given leaves.
 
     A bitmap of FILTER_BITS bits, so of a fixed size, keeps most other lines from being exchanged; the join is exact."""
     bits = leaves.select(_position(F.col("leaf")).alias("p")).groupBy(F.shiftright("p", 15).alias("__pl_b")).agg(F.bitmap_construct_agg(F.col("p").bitwiseAND(32767)).alias("__pl_bits"))
-    lines = docs.select(F.explode(F.array_distinct(_masked_lines(min_tokens))).alias("line")).withColumn("leaf", _leaf(F.col("line"), depth))
-    lines = lines.withColumn("__pl_p", _position(F.col("leaf"))).withColumns({"__pl_b": F.shiftright("__pl_p", 15), "__pl_i": F.col("__pl_p").bitwiseAND(32767).cast("int")})
+    lines = lines.select("leaf", "line", "k1", "k2").withColumn("__pl_p", _position(F.col("leaf"))).withColumns({"__pl_b": F.shiftright("__pl_p", 15), "__pl_i": F.col("__pl_p").bitwiseAND(32767).cast("int")})
     near = lines.join(F.broadcast(bits), "__pl_b").filter(F.expr("shiftright(CAST(conv(hex(substring(__pl_bits, __pl_i div 8 + 1, 1)), 16, 10) AS INT), __pl_i % 8) & 1 = 1"))
-    return near.select("leaf", "line").distinct().join(leaves, "leaf", "left_semi")
+    return near.select("leaf", "line", "k1", "k2").distinct().join(leaves, "leaf", "left_semi")
 
 
-def recurring(lines: DataFrame, docs: DataFrame, min_docs: int = MIN_DOCS, depth: int = DEPTH, similarity: float = SIMILARITY, min_tokens: int = MIN_TOKENS, share: float = SHARE) -> DataFrame:
-    """(k1, k2, first_doc) of the masked lines whose template recurs."""
-    pairs = lines.distinct()  # rows may share their doc_id
+def recurring(lines: DataFrame, min_docs: int = MIN_DOCS, similarity: float = SIMILARITY, share: float = SHARE) -> DataFrame:
+    """(k1, k2, first_doc) of the masked lines whose template recurs, from the staged result of ``document_lines``."""
+    pairs = lines.select("doc_id", "k1", "k2", "leaf").distinct()  # lines may be masked alike, and rows may share their doc_id
     distinct = stage(pairs.groupBy("k1", "k2", "leaf").agg(F.count(F.lit(1)).alias("n"), F.min("doc_id").alias("first_doc")), "lines")
     leaves = distinct.groupBy("leaf").agg(F.sum("n").alias("support"), F.count(F.lit(1)).alias("kinds")).filter((F.col("support") >= min_docs) & (F.col("kinds") > 1)).select("leaf")
     leaves = stage(leaves, "leaves")
-    texts = _lines_of(docs, leaves, min_tokens, depth).select("leaf", "line", *_keys(F.col("line")))
-    shared = stage(texts.join(distinct.select("k1", "k2", "n"), ["k1", "k2"]), "shared").select("leaf", "k1", "k2", "n", F.posexplode(F.split("line", " ")).alias("pos", "token"))
+    shared = stage(_lines_of(lines, leaves).join(distinct.select("k1", "k2", "n"), ["k1", "k2"]), "shared").select("leaf", "k1", "k2", "n", F.posexplode(F.split("line", " ")).alias("pos", "token"))
     supports = shared.groupBy("leaf", "pos", "token").agg(F.sum("n").alias("support")).filter((F.col("support") >= min_docs) & (F.col("token") != FIELD))
     # Those with enough frequent tokens: the group's support is min_docs at least, and so many tokens are constant.
     grouped = (
@@ -120,22 +116,21 @@ def recurring(lines: DataFrame, docs: DataFrame, min_docs: int = MIN_DOCS, depth
 def dedup_lines(docs: DataFrame, min_docs: int = MIN_DOCS, depth: int = DEPTH, similarity: float = SIMILARITY, min_tokens: int = MIN_TOKENS, share: float = SHARE) -> DataFrame:
     """One row per row of ``docs``: doc_id, text without its dropped lines, n_lines, n_dropped."""
     slim = docs.select("doc_id", "text")
-    lines = stage(document_lines(slim, min_tokens, depth), "keys")
-    drops = recurring(lines, slim, min_docs, depth, similarity, min_tokens, share)
+    lines = stage(document_lines(slim, min_tokens, depth), "masked")
+    drops = recurring(lines, min_docs, similarity, share)
     hits = (
-        lines.select("doc_id", "k1", "k2")
+        lines.filter("doc_id IS NOT NULL")
+        .select("doc_id", "raw", "k1", "k2")
         .join(drops, ["k1", "k2"])
         .filter(~F.col("doc_id").eqNullSafe(F.col("first_doc")))
-        .groupBy("doc_id")
-        .agg(F.collect_set(F.struct("k1", "k2")).alias("__pl_keys"))
-        .withColumnRenamed("doc_id", "__pl_doc")
+        .groupBy(F.col("doc_id").alias("__pl_doc"))
+        .agg(F.collect_set("raw").alias("__pl_keys"))
     )
     own = F.split("text", "\n")
-    keyed = F.arrays_zip(own.alias("line"), F.transform(masked_lines(F.col("text")), lambda m: F.struct(*_keys(m))).alias("key"))
-    left = F.transform(F.filter(keyed, lambda x: ~F.array_contains(F.col("__pl_keys"), x["key"])), lambda x: x["line"])
+    left = F.filter(own, lambda x: ~F.array_contains(F.col("__pl_keys"), F.xxhash64(x)))
     n_lines = F.when(F.col("text").isNull(), 0).otherwise(F.size(own))
     return (
-        slim.join(hits, F.col("doc_id").eqNullSafe(F.col("__pl_doc")), "left")
+        slim.join(hits, F.col("doc_id") == F.col("__pl_doc"), "left")
         .withColumn("__pl_kept", F.when(F.col("__pl_keys").isNull(), own).otherwise(left))
         .select("doc_id", F.array_join("__pl_kept", "\n").alias("text"), n_lines.cast("long").alias("n_lines"), F.when(F.col("text").isNull(), 0).otherwise(n_lines - F.size("__pl_kept")).cast("long").alias("n_dropped"))
     )
