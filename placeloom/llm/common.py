@@ -15,9 +15,11 @@ _LOCAL_SHARED: list[str] = []
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or a temporary one where that is unset (tests)."""
+    """The folder that driver and executors share: spark.checkpoint.dir. A temporary one stands in only on a local master (tests)."""
     base = spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
     if base is None:
+        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         if not _LOCAL_SHARED:
             _LOCAL_SHARED.append("file://" + tempfile.mkdtemp(prefix="placeloom-shared-"))
         base = _LOCAL_SHARED[0]
@@ -63,5 +65,20 @@ def bounded_join(left: DataFrame, right: DataFrame, keys: list[str], how: str =
     return left.join(renamed, on, how).drop(*[f"__pl_{k}" for k in keys])
 
 
+SALT = "__pl_salt"
+SALTS = 256
+
+
+def salted(rows: DataFrame, by: str) -> DataFrame:
+    """``rows`` with a salt in 0 to SALTS - 1 from the column ``by``, which spreads the rows of a hot key."""
+    return rows.withColumn(SALT, F.pmod(F.xxhash64(by, F.lit(97)), F.lit(SALTS)).cast("int"))
+
+
+def spread(rows: DataFrame, per_key: DataFrame, key: str) -> DataFrame:
+    """``per_key`` (one row per key) repeated for the salts that its key has in ``rows``, to be joined on (key, salt): no task
+    of either join holds more than SALTS rows of a key on this side, or the rows of one salt on the other."""
+    return rows.select(key, SALT).distinct().join(per_key, key)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")

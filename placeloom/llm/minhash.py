@@ -7,7 +7,8 @@ cost of one pass for texts with many shingles.
 
 Plan:
 1. One pass over the texts gives (doc_id, set size, digest of the word sequence, sketch, band keys). Equal sequences are
-   one class, whose least doc_id stands for it from here on.
+   one text, which its least doc_id stands for from here on. Joins on a digest or a band key are salted, as a third of all
+   rows may share one.
 2. Representatives that share a band key form a bucket. Every member is compared with the bucket's centre, the member
    that shares most buckets with others: a linear number of pairs, and a group of edited copies meets its original there.
 3. Links are confirmed on full shingle sets. The sets of a centre's members are streamed past the centre's own set in
@@ -20,8 +21,8 @@ Plan:
 With 32 bands of 4 coordinates a pair at the threshold is missed with probability 6e-11.
 
 Defined cases: null or empty text and text without words have an empty set and stay alone; a text with fewer than five
-words is one shingle, its whole sequence; repeated rows with one doc_id are given one result each; null doc_id stays
-alone; an empty table gives an empty result; further columns are ignored.
+words is one shingle, its whole sequence; rows with one doc_id are one document, which is linked by each of its texts, and
+have one result each, with the size of their own set; null doc_id stays alone; an empty table gives an empty result; further columns are ignored.
 """
 
 from __future__ import annotations
@@ -34,7 +35,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from placeloom.llm.common import stage
+from placeloom.llm.common import SALT, salted, spread, stage
 from placeloom.llm.components import components
 
 # Shingle length and the threshold of the contract, 100 * intersection >= 85 * union.
@@ -109,6 +110,11 @@ def sketch(items: np.ndarray) -> np.ndarray:
     return mix(out)
 
 
+def digest(ws: list[bytes]) -> bytes:
+    """128 bits of a word sequence: what tells texts apart."""
+    return xxhash.xxh3_128_digest(b" ".join(ws))
+
+
 def band_keys(sk: np.ndarray) -> np.ndarray:
     m = sk.reshape(BANDS, ROWS)
     acc = mix(np.arange(1, BANDS + 1, dtype=_U))
@@ -134,7 +140,7 @@ def _signatures(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             sizes.append(len(items))
             if len(items):
                 sk = sketch(items)
-                digests.append(xxhash.xxh3_128_digest(b" ".join(ws)))
+                digests.append(digest(ws))
                 sigs.append((sk & _U(0xFFFF)).astype(np.uint16).tobytes())
                 bands.append(band_keys(sk))
             else:
@@ -145,24 +151,39 @@ def _signatures(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _stars(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows sorted by (centre, salt, role): a run starts with its centre (role 0), and each later row is compared with that."""
+    """Rows sorted by (centre, its digest, salt, role): a run starts with its centre (role 0), and each later row is compared with that."""
     at, centre = None, np.empty(0, _U)
     for batch in batches:
         us, vs = [], []
-        for row in batch.to_pylist():
-            items = shingles(word_list(row["text"]))
+        for row in _rows(batch):
+            ws = word_list(row["text"])
+            if digest(ws) != row["digest"]:  # another text of that doc_id
+                continue
+            items, key = shingles(ws), (row["centre"], row["head"])
             if row["role"] == 0:
-                at, centre = row["centre"], items
-            elif row["centre"] == at and linked(centre, items):
+                at, centre = key, items
+            elif key == at and linked(centre, items):
                 us.append(row["id"])
-                vs.append(at)
+                vs.append(row["centre"])
         yield pa.RecordBatch.from_arrays([pa.array(us, batch.schema.field("id").type), pa.array(vs, batch.schema.field("id").type)], ["u", "v"])
 
 
+def _rows(batch: pa.RecordBatch) -> Iterator[dict]:
+    """The rows of a batch, a few texts at a time as Python objects."""
+    for at in range(0, batch.num_rows, 64):
+        yield from batch.slice(at, 64).to_pylist()
+
+
 def _groups(batches: Iterator[pa.RecordBatch], keys: tuple[str, ...]) -> Iterator[list[dict]]:
+    """Runs of rows with equal keys, of bounded size by construction; texts are replaced by their shingle sets at once."""
     held, at = [], None
     for batch in batches:
-        for row in batch.to_pylist():
+        for row in _rows(batch):
+            if "text" in row:
+                ws = word_list(row.pop("text"))
+                if digest(ws) != row["digest"]:
+                    continue
+                row["items"] = shingles(ws)
             key = tuple(row[k] for k in keys)
             if key != at and held:
                 yield held
@@ -212,7 +233,7 @@ def _block_links(exact: bool):
             _, comp = np.unique(np.array([str(r["comp"]) for r in rows]), return_inverse=True)
             side = np.array([r["b"] for r in rows])
             if exact:
-                sets = [shingles(word_list(r["text"])) for r in rows]
+                sets = [r["items"] for r in rows]
                 sig = np.stack([(sketch(s) & _U(0xFFFF)).astype(np.uint16) for s in sets])
             else:
                 sig = np.stack([np.frombuffer(r["sig"], np.uint16) for r in rows])
@@ -243,64 +264,68 @@ def _blocked(rows: DataFrame, weight: str) -> DataFrame:
 
 
 def _with_text(rows: DataFrame, docs: DataFrame) -> DataFrame:
-    """Joins ids with texts. Always by a merge join, so that the plan and its cost don't change with the size of ``rows``."""
+    """Joins ids with their texts, of which Python keeps the one with the row's digest. A merge join, as neither side has a size bound."""
     return rows.join(docs.select(F.col("doc_id").alias("id"), "text").hint("merge"), "id")
 
 
 def _verified(pairs: DataFrame, docs: DataFrame) -> DataFrame:
-    """Confirmed links of (id, centre) pairs."""
-    spark = docs.sparkSession
-    runs = pairs.groupBy("centre").agg((F.floor(F.count(F.lit(1)) / RUN) + 1).cast("int").alias("runs"))
-    members = pairs.join(runs, "centre").select("id", "centre", F.pmod(F.xxhash64("id"), F.col("runs")).cast("int").alias("salt"), F.lit(1).alias("role"))
-    heads = runs.select(F.col("centre").alias("id"), "centre", F.explode(F.sequence(F.lit(0), F.col("runs") - 1)).alias("salt"), F.lit(0).alias("role"))
-    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    rows = _with_text(members.unionByName(heads), docs).repartition(n, "centre", "salt").sortWithinPartitions("centre", "salt", "role")
+    """Confirmed links of (id, digest, centre, head) pairs, ``head`` being the centre's digest."""
+    runs = pairs.groupBy("centre", "head").agg((F.floor(F.count(F.lit(1)) / RUN) + 1).cast("int").alias("runs"))
+    members = pairs.join(runs, ["centre", "head"]).select("id", "digest", "centre", "head", F.pmod(F.xxhash64("id", "digest"), F.col("runs")).cast("int").alias("salt"), F.lit(1).alias("role"))
+    heads = runs.select(F.col("centre").alias("id"), F.col("head").alias("digest"), "centre", "head", F.explode(F.sequence(F.lit(0), F.col("runs") - 1)).alias("salt"), F.lit(0).alias("role"))
+    rows = _with_text(members.unionByName(heads), docs).repartition("centre", "head", "salt").sortWithinPartitions("centre", "head", "salt", "role")
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return stage(rows.select("id", "centre", "role", "text").mapInArrow(_stars, f"u {kind}, v {kind}"), "links")
+    return stage(rows.select("id", "digest", "centre", "head", "role", "text").mapInArrow(_stars, f"u {kind}, v {kind}"), "links")
 
 
 def classes(docs: DataFrame) -> DataFrame:
     """One row per row of ``docs``: doc_id, n_shingles, component_id, kept."""
-    spark = docs.sparkSession
-    n_parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     kind = docs.schema["doc_id"].dataType.simpleString()
     links_schema = f"u {kind}, v {kind}"
     docs = docs.select("doc_id", "text")
-    sketched = stage(docs.mapInArrow(_signatures, f"doc_id {kind}, n bigint, digest binary, sig binary, bands array<bigint>"), "sketches")
+    sketched = docs.mapInArrow(_signatures, f"doc_id {kind}, n bigint, digest binary, sig binary, bands array<bigint>")
+    sketched = stage(sketched.withColumn("row", F.monotonically_increasing_id()), "sketches")
 
     known = sketched.filter("digest IS NOT NULL AND doc_id IS NOT NULL")
-    copies = known.groupBy("digest").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("c"))
-    copied = stage(known.select("doc_id", "digest").join(copies.filter("c > 1").select("digest", "rep"), "digest").select("doc_id", "rep"), "copies")
-    others = copied.filter("doc_id <> rep").select("doc_id").distinct()
-    reps = known.join(others, "doc_id", "left_anti")
+    texts = salted(known.select("row", "doc_id", "digest"), "row")
+    copies = texts.groupBy("digest").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("c")).filter("c > 1").select("digest", "rep")
+    copied = stage(texts.join(spread(texts, copies, "digest"), ["digest", SALT]), "copies")
+    first_rows = copied.filter("doc_id = rep").groupBy("digest").agg(F.min("row").alias("row"))
+    reps = known.join(copied.select("row").join(first_rows, "row", "left_anti"), "row", "left_anti")
 
-    banded = reps.select(F.col("doc_id").alias("id"), F.explode("bands").alias("key"))
+    banded = salted(reps.select(F.col("doc_id").alias("id"), "digest", F.explode("bands").alias("key")), "digest")
     shared = banded.groupBy("key").agg(F.count(F.lit(1)).alias("c")).filter("c > 1")
-    buckets = stage(banded.join(shared, "key"), "buckets")
-    fame = buckets.groupBy("id").agg(F.sum("c").alias("fame"))
-    centres = buckets.join(fame, "id").groupBy("key").agg(F.max(F.struct("fame", "id")).alias("top")).select("key", F.col("top.id").alias("centre"))
-    pairs = stage(buckets.join(centres, "key").filter("id <> centre").select("id", "centre").distinct(), "pairs")
-    links = _verified(pairs, docs)
+    buckets = stage(banded.join(spread(banded, shared, "key"), ["key", SALT]), "buckets")
+    fame = buckets.groupBy("id", "digest").agg(F.sum("c").alias("fame"))
+    centres = buckets.join(fame, ["id", "digest"]).groupBy("key").agg(F.max(F.struct("fame", "id", "digest")).alias("top")).select("key", F.col("top.id").alias("centre"), F.col("top.digest").alias("head"))
+    pairs = buckets.join(spread(buckets, centres, "key"), ["key", SALT]).filter("id <> centre").select("id", "digest", "centre", "head").distinct()
+    links = _verified(stage(pairs, "pairs"), docs)
+    # The texts of a document are one node; those that others stand for are tied to it.
+    several = known.groupBy("doc_id").agg(F.min(F.xxhash64("digest")).alias("lo"), F.max(F.xxhash64("digest")).alias("hi")).filter("lo <> hi").select("doc_id")
+    ties = copied.filter("doc_id <> rep").join(several, "doc_id", "left_semi").select(F.col("doc_id").alias("u"), F.col("rep").alias("v")).distinct()
+    links = stage(links.unionByName(ties), "ties")
 
     # Buckets that still hold more than one component.
     first = components(links)
-    labelled = buckets.select("key", "id").join(first.withColumnRenamed("node", "id"), "id", "left").withColumn("comp", F.coalesce("component", "id")).drop("component")
-    labelled = stage(labelled, "labelled")
+    labelled = buckets.select("key", "id", "digest").join(first.withColumnRenamed("node", "id"), "id", "left").withColumn("comp", F.coalesce("component", "id")).drop("component")
+    labelled = salted(stage(labelled, "labelled"), "digest")
     mixed = labelled.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo <> hi").select("key")
-    open_rows = stage(labelled.join(mixed, "key").join(reps.select(F.col("doc_id").alias("id"), "n", "sig"), "id").withColumn("w", F.lit(0)), "open")
+    open_rows = labelled.join(spread(labelled, mixed, "key"), ["key", SALT]).drop(SALT)
+    open_rows = stage(open_rows.join(reps.select(F.col("doc_id").alias("id"), "digest", "n", "sig"), ["id", "digest"]).withColumn("w", F.lit(0)), "open")
     final = first
     if not open_rows.isEmpty():
-        blocked = _blocked(open_rows, "w").repartition(n_parts, "key", "b1", "b2").sortWithinPartitions("key", "b1", "b2")
+        blocked = _blocked(open_rows, "w").repartition("key", "b1", "b2").sortWithinPartitions("key", "b1", "b2")
         alike = stage(blocked.select("key", "b1", "b2", "b", "id", "comp", "sig").mapInArrow(_block_links(False), links_schema), "alike")
         if not alike.isEmpty():
             groups = components(alike).select(F.col("node").alias("id"), F.col("component").alias("key"))
-            open_docs = stage(groups.join(open_rows.select("id", "comp", "n").distinct(), "id"), "groups")
-            settled = _with_text(_blocked(open_docs, "n"), docs).repartition(n_parts, "key", "b1", "b2").sortWithinPartitions("key", "b1", "b2")
-            late = stage(settled.select("key", "b1", "b2", "b", "id", "comp", "text").mapInArrow(_block_links(True), links_schema), "late")
+            open_docs = stage(groups.join(open_rows.select("id", "digest", "comp", "n").distinct(), "id"), "groups")
+            settled = _with_text(_blocked(open_docs, "n"), docs).repartition("key", "b1", "b2").sortWithinPartitions("key", "b1", "b2")
+            late = stage(settled.select("key", "b1", "b2", "b", "id", "digest", "comp", "text").mapInArrow(_block_links(True), links_schema), "late")
             if not late.isEmpty():
                 final = components(links.unionByName(late))
 
-    joined = copied.join(final, copied["rep"] == final["node"], "left").select("doc_id", F.coalesce("component", "rep").alias("component")).filter("doc_id <> component")
+    stood = salted(copied.select("doc_id", "rep"), "doc_id")
+    joined = stood.join(spread(stood, final.withColumnRenamed("node", "rep"), "rep"), ["rep", SALT], "left").select("doc_id", F.coalesce("component", "rep").alias("component")).filter("doc_id <> component")
     linked_reps = final.join(copied.select("doc_id"), F.col("node") == F.col("doc_id"), "left_anti").select(F.col("node").alias("doc_id"), "component").filter("doc_id <> component")
     moved = joined.unionByName(linked_reps).distinct()
     out = sketched.select("doc_id", F.col("n").alias("n_shingles")).join(moved, "doc_id", "left").withColumn("component_id", F.coalesce("component", "doc_id"))
@@ -310,4 +335,4 @@ def classes(docs: DataFrame) -> DataFrame:
 def keep_first(docs: DataFrame) -> DataFrame:
     """The rows of ``docs`` whose document is the least of its component, with all their columns."""
     out = stage(classes(docs).filter(~F.col("kept")).select(F.col("doc_id").alias("__pl_doc")).distinct(), "duplicates")
-    return docs.hint("merge").join(out, F.col("doc_id") == F.col("__pl_doc"), "left_anti")  # one plan at every size
+    return docs.hint("merge").join(out, F.col("doc_id") == F.col("__pl_doc"), "left_anti")  # a merge join, as the ids have no size bound
