@@ -99,11 +99,12 @@ def _hash(value: str) -> int:
 
 
 def candidates(docs: DataFrame, repo: Column, owner: Column) -> DataFrame:
-    """(doc_id, row, spans): every row's base spans and candidates; ``row`` tells repeated ids apart."""
+    """(doc_id, repo, owner, spans, row): every row's base spans and candidates; ``row`` is unique."""
     kind = docs.schema["doc_id"].dataType.simpleString()
     slim = docs.select("doc_id", F.coalesce(repo.cast("string"), F.lit("")).alias("repo"), F.coalesce(owner.cast("string"), F.lit("")).alias("owner"), "text")
     spans = "array<struct<kind:string,start:bigint,end:bigint,value:bigint>>"
-    return stage(slim.mapInArrow(_scan, f"doc_id {kind}, repo string, owner string, spans {spans}"), "candidates")
+    scanned = slim.mapInArrow(_scan, f"doc_id {kind}, repo string, owner string, spans {spans}")
+    return stage(scanned.withColumn("row", F.monotonically_increasing_id()), "candidates")
 
 
 def ownership(found: DataFrame) -> DataFrame:
@@ -127,10 +128,9 @@ def scan(docs: DataFrame, repo: Column | None = None, owner: Column | None = Non
     """
     found = candidates(docs, F.col("doc_id") if repo is None else repo, F.col("source") if owner is None else owner)
     some = found.filter(F.size("spans") > 0)
-    counts = ownership(some)
-    values = some.select("doc_id", F.explode("spans.value").alias("value")).distinct().join(counts, "value")
-    verdicts = values.groupBy("doc_id").agg(F.collect_set(F.when((F.col("owners") > max_owners) | (F.col("repos") > max_repos), F.col("value"))).alias("copied")).withColumnRenamed("doc_id", "__pl_doc")
-    joined = found.select("doc_id", "spans").join(verdicts, F.col("doc_id").eqNullSafe(F.col("__pl_doc")), "left")
+    common = ownership(some).filter((F.col("owners") > max_owners) | (F.col("repos") > max_repos)).select("value")
+    verdicts = some.select("row", F.explode(F.array_distinct("spans.value")).alias("value")).join(common, "value").groupBy("row").agg(F.collect_list("value").alias("copied"))
+    joined = found.select("row", "doc_id", "spans").join(verdicts, "row", "left")
     copied = lambda s: F.coalesce(F.array_contains(F.col("copied"), s["value"]), F.lit(False))
     return joined.select(
         "doc_id",
