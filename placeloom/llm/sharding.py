@@ -1,13 +1,15 @@
 """Uniform shuffle into shards of exact sizes by a hypergeometric communication matrix.
 
-Rows are dealt into blocks by a hash of their id. The matrix of block-to-shard counts is drawn exactly: each block in
-turn takes a multivariate hypergeometric sample of what the shards still lack, so its rows sum to the block sizes and its
-columns to the shard sizes, which differ by one at most. Each block then permutes its rows by hash and deals consecutive
+Rows are dealt into blocks by a hash of their id, repeated rows by their row number too. The matrix of block-to-shard
+counts is drawn exactly: each block in turn takes a multivariate hypergeometric sample of what the shards still lack, so
+its rows sum to the block sizes and its columns to the shard sizes, which differ by one at most. Blocks stay small, however many there are: the driver draws
+the matrix of groups of GROUP blocks, and tasks draw that of the blocks of each group from the group's row, which is the
+same law. Each block then permutes its rows by hash and deals consecutive
 runs to the shards, and each shard permutes again: rows go to sub-buckets by the leading bits of a second hash, and a
-slot is the bucket's offset plus the rank within it. No task holds a shard, only a block or a bucket. Only narrow rows (id, size, checksum) are exchanged.
+slot is the bucket's offset plus the rank within it. No task holds a shard, only a block or a bucket. ``assign`` exchanges
+narrow rows (id, size, checksum) only.
 
-The matrix has as many rows as there are blocks (at most MAX_BLOCKS) and is drawn on the driver. Above 10^9 rows left, a
-draw uses the normal approximation of the hypergeometric law, rounded and clipped; counts stay exact.
+Draws are exact at every size: where numpy's generator ends, the draw is narrowed down first (see ``hypergeometric``).
 
 Defined cases: null or empty text has size 1 and checksum 0; null doc_id is a value of its own; repeated rows get shards
 and slots of their own; with fewer rows than shards some shards are empty; an empty table gives an empty result.
@@ -19,87 +21,125 @@ from __future__ import annotations
 import math
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from placeloom.llm.common import stage
+from placeloom.llm.common import bounded_join, stage
 
 SHARDS = 8
 SEED = 20
 BLOCK_ROWS = 50_000
 MIN_BLOCKS = 16
-MAX_BLOCKS = 16_384
+GROUP = 4096
+#: Populations that numpy draws from; SINGLY: draws that are few enough to be made one by one.
+NUMPY_TOTAL = 10**9
+SINGLY = 64
+ROW = "__pl_row"
 
 
 def hypergeometric(rng: np.random.Generator, good: int, bad: int, drawn: int) -> int:
-    """How many of ``drawn`` items, taken without replacement, are among the ``good`` ones."""
-    total = good + bad
+    """How many of ``drawn`` items, taken without replacement, are among the ``good`` ones.
+
+    Large populations are narrowed down exactly: give every item a uniform place in (0, 1), so that the draw is the lowest
+    items. The m-th lowest good one has a Beta place x, and a binomial number of bad ones lies below x. Either all of these are
+    drawn, and the rest of the draw is among those above x; or the draw lies below x. What is left is a draw of the same kind."""
+    taken, sign = 0, 1
+    while good and drawn and bad and good + bad >= NUMPY_TOTAL:
+        if 2 * drawn > good + bad:  # count those that are left instead
+            taken, sign, drawn = taken + sign * good, -sign, good + bad - drawn
+            continue
+        if drawn <= SINGLY:
+            for _ in range(drawn):
+                hit = good > int(rng.integers(good + bad))
+                taken, good, bad = taken + sign * hit, good - hit, bad - (not hit)
+            return taken
+        m = max(1, good * drawn // (good + bad))
+        below = int(rng.binomial(bad, rng.beta(m, good - m + 1)))
+        if m + below <= drawn:
+            taken, good, bad, drawn = taken + sign * m, good - m, bad - below, drawn - m - below
+        else:
+            good, bad = m - 1, below
     if drawn == 0 or good == 0:
-        return 0
-    if bad == 0:
-        return drawn
-    if total < 10**9:
-        return int(rng.hypergeometric(good, bad, drawn))
-    p = good / total
-    sd = math.sqrt(drawn * p * (1 - p) * (total - drawn) / (total - 1))
-    return min(max(round(rng.normal(drawn * p, sd)), 0, drawn - bad), drawn, good)
-
-
-def communication_matrix(blocks: list[int], shards: int = SHARDS, seed: int = SEED) -> np.ndarray:
-    """counts[i, j]: rows of block i that go to shard j; rows sum to ``blocks``, columns to sizes at most one apart."""
-    rng, n = np.random.default_rng(seed), sum(blocks)
-    lacks = [n // shards + (j < n % shards) for j in range(shards)]
-    out = np.zeros((len(blocks), shards), dtype=np.int64)
+        return taken
+    return taken + sign * (drawn if bad == 0 else int(rng.hypergeometric(good, bad, drawn)))
+
+
+def shard_sizes(n: int, shards: int = SHARDS) -> list[int]:
+    return [n // shards + (j < n % shards) for j in range(shards)]
+
+
+def communication_matrix(blocks: list[int], shards: int | list[int] = SHARDS, seed: int | list[int] = SEED) -> np.ndarray:
+    """counts[i, j]: rows of block i that go to shard j; rows sum to ``blocks``, columns to the sizes of the shards, which are
+    given or at most one apart."""
+    rng, lacks = np.random.default_rng(seed), shard_sizes(sum(blocks), shards) if isinstance(shards, int) else [int(x) for x in shards]
+    out = np.zeros((len(blocks), len(lacks)), dtype=np.int64)
     for i, size in enumerate(blocks):
-        left, rest = size, sum(lacks)
-        for j in range(shards):
-            rest -= lacks[j]
-            out[i, j] = hypergeometric(rng, lacks[j], rest, left)
+        left, rest = int(size), sum(lacks)
+        for j, good in enumerate(lacks):
+            rest -= good
+            out[i, j] = hypergeometric(rng, good, rest, left)
             left -= int(out[i, j])
-        for j in range(shards):
-            lacks[j] -= int(out[i, j])
+        lacks = [a - int(b) for a, b in zip(lacks, out[i], strict=True)]
     return out
 
 
-def assign(docs: DataFrame, shards: int = SHARDS, seed: int = SEED) -> DataFrame:
-    """One row per row of ``docs``: doc_id, size, text_crc32, shard, slot."""
-    spark = docs.sparkSession
+def _ends(rows: DataFrame, shards: int, seed: int) -> DataFrame:
+    """(block, ends): the ranks in a block at which each shard's run ends, drawn group by group."""
+    sizes = rows.groupBy("block").agg(F.count(F.lit(1)).alias("n")).withColumn("group", F.floor(F.col("block") / GROUP).cast("int"))
+    sizes = stage(sizes, "blocks")
+    groups = sorted((r["group"], r["n"]) for r in sizes.groupBy("group").agg(F.sum("n").alias("n")).collect())  # one row for GROUP * BLOCK_ROWS rows
+    parts = communication_matrix([c for _, c in groups], shards, seed)
+    lacks = rows.sparkSession.createDataFrame([(g, [int(x) for x in p]) for (g, _), p in zip(groups, parts, strict=True)], "group int, lacks array<bigint>")
+
+    def draw(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("block")
+        ends = np.cumsum(communication_matrix(pdf["n"].tolist(), list(pdf["lacks"].iloc[0]), [seed, int(pdf["group"].iloc[0])]), axis=1)
+        return pd.DataFrame({"block": pdf["block"].to_numpy(), "ends": ends.tolist()})
+
+    return stage(sizes.join(lacks, "group").groupBy("group").applyInPandas(draw, "block bigint, ends array<bigint>"), "ends")
+
+
+def _narrow() -> list:
     text = F.coalesce(F.col("text"), F.lit(""))
-    slim = docs.select("doc_id", (F.octet_length(text) + 1).cast("long").alias("size"), F.crc32(F.encode(text, "UTF-8")).alias("text_crc32"))
-    rows = stage(slim.withColumn("r", F.xxhash64("doc_id", "text_crc32", F.lit(seed))), "rows")
+    return ["doc_id", (F.octet_length(text) + 1).cast("long").alias("size"), F.crc32(F.encode(text, "UTF-8")).alias("text_crc32")]
+
+
+def _placed(rows: DataFrame, shards: int, seed: int) -> DataFrame:
+    """Staged rows (ROW, doc_id, size, text_crc32) with shard and slot."""
     n = rows.count()
-    blocks = min(MAX_BLOCKS, max(MIN_BLOCKS, -(-n // BLOCK_ROWS)))
-    rows = rows.withColumn("block", F.pmod("r", F.lit(blocks)).cast("int"))
-    sizes = sorted((r["block"], r["count"]) for r in rows.groupBy("block").count().collect())  # at most MAX_BLOCKS rows
-    matrix = np.cumsum(communication_matrix([c for _, c in sizes], shards, seed), axis=1)
-    ends = spark.createDataFrame([(b, [int(x) for x in m]) for (b, _), m in zip(sizes, matrix, strict=True)], "block int, ends array<bigint>")
-    rank = F.row_number().over(W.partitionBy("block").orderBy("r", "doc_id", "text_crc32", "size"))
+    blocks = max(MIN_BLOCKS, -(-n // BLOCK_ROWS))
+    rows = rows.withColumn("r", F.xxhash64("doc_id", "text_crc32", F.lit(seed)))
+    again = rows.groupBy("r").agg(F.count(F.lit(1)).alias("c")).filter("c > 1").select("r", F.lit(True).alias("again"))
+    rows = rows.join(again, "r", "left").withColumn("r", F.when(F.col("again"), F.xxhash64("r", ROW)).otherwise(F.col("r"))).drop("again")
+    rows = stage(rows.withColumn("block", F.pmod("r", F.lit(blocks)).cast("long")), "rows")
+    order = ("doc_id", "text_crc32", "size", ROW)
+    rank = F.row_number().over(W.partitionBy("block").orderBy("r", *order))
     dealt = (
-        rows.withColumn("rank", rank.cast("long"))
-        .join(F.broadcast(ends), "block")
+        bounded_join(rows.withColumn("rank", rank.cast("long")), _ends(rows, shards, seed), ["block"])
         .withColumn("shard", F.expr("size(filter(ends, e -> e < rank))").cast("int"))
         .withColumn("r2", F.xxhash64("r", "rank", F.lit(seed + 1)))
     )
     bits = max(1, math.ceil(math.log2(max(2, blocks / shards * 2))))
-    dealt = stage(dealt.withColumn("bucket", F.shiftrightunsigned("r2", 64 - bits).cast("int")).select("doc_id", "size", "text_crc32", "shard", "bucket", "r2"), "dealt")
+    dealt = stage(dealt.withColumn("bucket", F.shiftrightunsigned("r2", 64 - bits).cast("long")).select(*order, "shard", "bucket", "r2"), "dealt")
     counts = dealt.groupBy("shard", "bucket").agg(F.count(F.lit(1)).alias("n"))
     before = W.partitionBy("shard").orderBy("bucket").rowsBetween(W.unboundedPreceding, -1)
-    offsets = counts.select("shard", "bucket", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("offset"))  # at most 4 * MAX_BLOCKS rows
-    within = F.row_number().over(W.partitionBy("shard", "bucket").orderBy("r2", "doc_id", "text_crc32", "size"))
-    return dealt.withColumn("within", within).join(F.broadcast(offsets), ["shard", "bucket"]).select("doc_id", "size", "text_crc32", "shard", (F.col("offset") + F.col("within") - 1).cast("long").alias("slot"))
+    offsets = stage(counts.select("shard", "bucket", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("offset")), "offsets")
+    within = F.row_number().over(W.partitionBy("shard", "bucket").orderBy("r2", *order))
+    return bounded_join(dealt.withColumn("within", within), offsets, ["shard", "bucket"]).select(ROW, "doc_id", "size", "text_crc32", "shard", (F.col("offset") + F.col("within") - 1).cast("long").alias("slot"))
 
 
-def shard_documents(docs: DataFrame, shards: int = SHARDS, seed: int = SEED) -> DataFrame:
-    """``docs`` with columns shard and slot (they replace columns of these names). Each text is exchanged once.
+def assign(docs: DataFrame, shards: int = SHARDS, seed: int = SEED) -> DataFrame:
+    """One row per row of ``docs``: doc_id, size, text_crc32, shard, slot."""
+    rows = stage(docs.select(*_narrow(), F.monotonically_increasing_id().alias(ROW)), "narrow")
+    return _placed(rows, shards, seed).drop(ROW)
 
-    Repeated rows (same doc_id and text) are numbered and take the places that were drawn for that id in turn.
-    """
+
+def shard_documents(docs: DataFrame, shards: int = SHARDS, seed: int = SEED) -> DataFrame:
+    """``docs`` with columns shard and slot (they replace columns of these names). Rows are staged with their number, by which
+    they meet their places, so each text is exchanged once and repeated rows don't meet."""
     names = [c for c in docs.columns if c not in ("shard", "slot")]
-    crc = F.crc32(F.encode(F.coalesce(F.col("text"), F.lit("")), "UTF-8"))
-    keys = ["__pl_id", "__pl_crc"]
-    rows = docs.select(F.coalesce(F.col("doc_id").cast("string"), F.lit("null")).alias("__pl_id"), crc.alias("__pl_crc"), F.struct(*names).alias("__pl_row"))
-    places = assign(docs, shards, seed).groupBy(F.coalesce(F.col("doc_id").cast("string"), F.lit("null")).alias("__pl_id"), F.col("text_crc32").alias("__pl_crc")).agg(F.array_sort(F.collect_list(F.struct("shard", "slot"))).alias("__pl_places"))
-    number = F.row_number().over(W.partitionBy(*keys).orderBy(*keys))
-    joined = rows.join(places, keys).withColumn("__pl_k", number).withColumn("__pl_place", F.expr("get(__pl_places, __pl_k - 1)"))
-    return joined.select("__pl_row.*", F.col("__pl_place.shard").alias("shard"), F.col("__pl_place.slot").alias("slot"))
+    rows = stage(docs.select(F.struct(*names).alias("__pl_doc"), F.monotonically_increasing_id().alias(ROW)), "documents")
+    places = _placed(rows.select(ROW, "__pl_doc.doc_id", "__pl_doc.text").select(ROW, *_narrow()), shards, seed)
+    return rows.join(places.select(ROW, "shard", "slot"), ROW).select("__pl_doc.*", "shard", "slot")
