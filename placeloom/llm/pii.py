@@ -1,14 +1,19 @@
 """Personal data: base rules, and a character-level bidirectional LSTM with CRF transitions that adds spans.
 
-The tagger is trained in numpy on the driver from labelled spans of a bounded sample of documents (TRAIN_DOCS texts that
-have a digit or an at sign, the least by hash in a hash sample of SAMPLE_DOCS documents; at most TRAIN_WINDOWS windows around their spans). For decoding, every
-text is cut into regions around each digit and at sign; a region without either can't hold a span, as every labelled kind
-has one. Regions are covered by overlapping windows; emissions of windows are blended by distance from the window's edge,
-and one Viterbi pass over the whole region reconciles them globally. A decoded span is added if it overlaps no base span, has its kind's shape
-and a mean posterior tag probability of at least LEAST_SURE.
-
-Defined cases: null text is empty; repeated rows repeat their spans; without any labelled span nothing is added; an empty
-table gives an empty result; further columns are ignored.
+The tagger is trained in numpy on the driver from labelled spans of a bounded sample of documents: TRAIN_DOCS distinct
+texts of at most TRAIN_CHARS characters that have a digit or an at sign, the least by hash in a hash sample of SAMPLE_DOCS
+documents; at most TRAIN_WINDOWS windows, half of them with spans. The base rules label them, and every labelled text is
+learned twice: as it is, and with its spans written in ways that the base rules don't know (see ``variants``), so that the
+model learns what surrounds a span and not only the rules' own shapes.
+
+For decoding, every text is cut into regions around each digit, at sign and spelled-out at sign; a region without any can't hold a
+span. Regions are covered by overlapping windows; emissions of windows are blended by distance from the window's edge, and
+one Viterbi pass over the whole region reconciles them globally. Regions of more than PIECE characters are decoded in
+pieces that overlap by OVERLAP on either side, so memory is bounded for any text. A decoded span is added if it overlaps
+no base span, can be read as its kind (see ``_plausible``) and has a mean posterior tag probability of at least LEAST_SURE.
+
+Defined cases: null text is empty; repeated rows repeat their spans and are learned once; without any labelled span nothing
+is added; an empty table gives an empty result; further columns are ignored.
 """
 
 from __future__ import annotations
@@ -31,15 +36,19 @@ PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 KINDS = ("email", "ip", "card", "phone")
 
 TRAIN_DOCS = 1500
+TRAIN_CHARS = 4000
 SAMPLE_DOCS = 30_000
 TRAIN_WINDOWS = 1600
-EPOCHS = 8
-LEAST_STEPS = 300
+EPOCHS = 6
+LEAST_STEPS = 150
 WINDOW, STRIDE, REACH = 64, 32, 40
 EMBED, HIDDEN = 12, 16
 TAGS = 1 + 2 * len(KINDS)
 LEAST_SURE = 0.9
+PIECE, OVERLAP = 4096, 128
+FLUSH = 4096
 CUE = re.compile("[0-9@]")
+REGION_CUE = re.compile(r"[0-9@]|[(\[{] ?(?:at|AT) ?[)\]}]")
 NOT_DIGIT = re.compile("[^0-9]")
 
 
@@ -163,16 +172,12 @@ class Tagger:
         for t in range(steps - 2, -1, -1):
             beta[:, t] = lse(self.trans + (em[:, t + 1] + beta[:, t + 1])[:, None, :], 2)
         z = lse(alpha[:, -1], 1)
-        rows = np.arange(n)
-        gold = self.init[tags[:, 0]] + em[rows, 0, tags[:, 0]]
-        dtrans = np.zeros_like(self.trans)
-        for t in range(1, steps):
-            gold = gold + self.trans[tags[:, t - 1], tags[:, t]] + em[rows, t, tags[:, t]]
-            pair = np.exp(alpha[:, t - 1][:, :, None] + self.trans + (em[:, t] + beta[:, t])[:, None, :] - z[:, None, None])
-            dtrans += pair.sum(axis=0)
-            np.add.at(dtrans, (tags[:, t - 1], tags[:, t]), -1)
+        rows, ts = np.arange(n)[:, None], np.arange(steps)[None, :]
+        gold = self.init[tags[:, 0]] + em[rows, ts, tags].sum(axis=1) + self.trans[tags[:, :-1], tags[:, 1:]].sum(axis=1)
+        pairs = np.exp(alpha[:, :-1, :, None] + self.trans + (em + beta)[:, 1:, None, :] - z[:, None, None, None]).sum(axis=(0, 1))
+        dtrans = pairs - np.bincount((tags[:, :-1] * TAGS + tags[:, 1:]).ravel(), minlength=TAGS * TAGS).reshape(TAGS, TAGS)
         dem = np.exp(alpha + beta - z[:, None, None])
-        np.subtract.at(dem, (rows[:, None], np.arange(steps)[None, :], tags), 1)
+        dem[rows, ts, tags] -= 1
         dem = (dem / n).astype(np.float32)
         flat = dem.reshape(-1, TAGS)
         g = {"wo": h.reshape(-1, 2 * HIDDEN).T @ flat, "bo": flat.sum(axis=0), "trans": (dtrans / n).astype(np.float32), "init": dem[:, 0].sum(axis=0)}
@@ -183,7 +188,7 @@ class Tagger:
         np.add.at(g["emb"], codes, dxf + dxb[:, ::-1])
         return float((z - gold).mean()), g
 
-    def fit(self, codes: np.ndarray, tags: np.ndarray, epochs: int = EPOCHS, batch: int = 32, rate: float = 0.01, seed: int = 6) -> Tagger:
+    def fit(self, codes: np.ndarray, tags: np.ndarray, epochs: int = EPOCHS, batch: int = 64, rate: float = 0.015, seed: int = 6) -> Tagger:
         rng = np.random.default_rng(seed)
         m = {k: np.zeros_like(getattr(self, k)) for k in self.NAMES}
         v = {k: np.zeros_like(getattr(self, k)) for k in self.NAMES}
@@ -201,35 +206,39 @@ class Tagger:
                     setattr(self, k, (getattr(self, k) - rate * (m[k] / (1 - 0.9**step)) / (np.sqrt(v[k] / (1 - 0.999**step)) + 1e-8)).astype(np.float32))
         return self
 
-    def sureness(self, em: np.ndarray, tags: np.ndarray) -> np.ndarray:
-        """The posterior probability of each tag of a sequence, by forward-backward over one region."""
-        fore, back = np.empty(em.shape), np.zeros(em.shape)
-        fore[0] = self.init + em[0]
-        lse = lambda a: (m := a.max(axis=0)) + np.log(np.exp(a - m).sum(axis=0))
-        for t in range(1, len(em)):
-            fore[t] = lse(fore[t - 1][:, None] + self.trans) + em[t]
-        for t in range(len(em) - 2, -1, -1):
-            back[t] = lse((self.trans + (em[t + 1] + back[t + 1])).T)
-        return np.exp(fore + back - lse(fore[-1]))[np.arange(len(em)), tags]
-
-    def decode(self, em: np.ndarray) -> np.ndarray:
-        """The best tag sequence of one region's emissions."""
-        score, back = self.init + em[0], np.empty((len(em), TAGS), np.int64)
-        for t in range(1, len(em)):
-            total = score[:, None] + self.trans
-            back[t] = total.argmax(axis=0)
-            score = total[back[t], np.arange(TAGS)] + em[t]
-        out = np.empty(len(em), np.int64)
-        out[-1] = score.argmax()
-        for t in range(len(em) - 1, 0, -1):
-            out[t - 1] = back[t, out[t]]
+    def decode(self, em: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+        """The best tag sequences of regions' emissions (regions, steps, TAGS), padded beyond ``lengths``."""
+        n, steps, _ = em.shape
+        score, back, same = self.init + em[:, 0], np.empty((n, steps, TAGS), np.int8), np.arange(TAGS)
+        for t in range(1, steps):
+            total, live = score[:, :, None] + self.trans, (t < lengths)[:, None]
+            best = total.argmax(axis=1)
+            back[:, t] = np.where(live, best, same)
+            score = np.where(live, np.take_along_axis(total, best[:, None], axis=1)[:, 0] + em[:, t], score)
+        out, rows = np.empty((n, steps), np.int64), np.arange(n)
+        out[:, -1] = score.argmax(axis=1)
+        for t in range(steps - 1, 0, -1):
+            out[:, t - 1] = back[rows, t, out[:, t]]
         return out
 
+    def sureness(self, em: np.ndarray, lengths: np.ndarray, tags: np.ndarray) -> np.ndarray:
+        """The posterior probability of each tag of the sequences, by forward-backward."""
+        n, steps, _ = em.shape
+        fore, back = np.empty(em.shape), np.zeros(em.shape)
+        lse = lambda a, axis: (m := a.max(axis=axis, keepdims=True)).squeeze(axis) + np.log(np.exp(a - m).sum(axis=axis))
+        fore[:, 0] = self.init + em[:, 0]
+        for t in range(1, steps):
+            fore[:, t] = lse(fore[:, t - 1][:, :, None] + self.trans, 1) + em[:, t]
+        for t in range(steps - 2, -1, -1):
+            back[:, t] = np.where((t < lengths - 1)[:, None], lse(self.trans + (em[:, t + 1] + back[:, t + 1])[:, None, :], 2), 0)
+        z = lse(fore[np.arange(n), lengths - 1], 1)
+        return np.exp(np.minimum(np.take_along_axis(fore + back, tags[:, :, None], axis=2)[:, :, 0] - z[:, None], 0))
+
 
 def regions(text: str) -> list[tuple[int, int]]:
-    """Merged [start, end) intervals of REACH characters around each digit and at sign."""
+    """Merged [start, end) intervals of REACH characters around each digit and at sign, spelled out or not."""
     out: list[list[int]] = []
-    for m in CUE.finditer(text):
+    for m in REGION_CUE.finditer(text):
         a, b = max(0, m.start() - REACH), min(len(text), m.end() + REACH)
         if out and a <= out[-1][1]:
             out[-1][1] = b
@@ -250,20 +259,53 @@ def _tags(length: int, spans: list[tuple[str, int, int]], start: int) -> np.ndar
     return tags
 
 
-def training_windows(texts: list[str], limit: int = TRAIN_WINDOWS) -> tuple[np.ndarray, np.ndarray]:
-    """Windows around the labelled spans of ``texts`` and as many others, in order."""
-    codes, tags = [], []
+def variants(kind: str, piece: str, rng: np.random.Generator) -> str:
+    """A labelled span in a form that the base rules don't know."""
+    pick = lambda *forms: forms[int(rng.integers(len(forms)))]
+    if kind == "email":
+        name, _, host = piece.rpartition("@")
+        return name + pick(" @ ", " (at) ", " [at] ", "(at)") + host.replace(".", pick(".", ".", " (dot) ", "(dot)", "[.]"))
+    if kind == "ip":
+        return piece.replace(".", pick("[.]", "(.)", " . ", "[dot]"))
+    digits = NOT_DIGIT.sub("", piece)
+    if kind == "card":
+        sign = pick(".", "/", "_", "  ")
+        return sign.join(digits[i : i + 4] for i in range(0, len(digits), 4))
+    sign = pick(" ", ".", "-", "/")
+    own = digits[len(digits) - 9 :]
+    return pick("0", "00" + digits[: max(1, len(digits) - 9)] + sign, "(0)") + own[0] + sign + sign.join(own[i : i + 2] for i in range(1, 9, 2))
+
+
+def varied(text: str, spans: list[tuple[str, int, int]], rng: np.random.Generator) -> tuple[str, list[tuple[str, int, int]]]:
+    """``text`` with its spans rewritten, and where they are then. Of overlapping spans the first stays."""
+    out, put, done, size = [], [], 0, 0
+    for kind, a, b in sorted(spans, key=lambda s: (s[1], -s[2])):
+        if a < done:
+            continue
+        new = variants(kind, text[a:b], rng)
+        out += [text[done:a], new]
+        size += a - done
+        put.append((kind, size, size + len(new)))
+        size, done = size + len(new), b
+    return "".join([*out, text[done:]]), put
+
+
+def training_windows(texts: list[str], limit: int = TRAIN_WINDOWS, seed: int = 7) -> tuple[np.ndarray, np.ndarray]:
+    """At most ``limit`` windows over the regions of ``texts`` and of their variants, half of them with spans if there are so many."""
+    rng, held = np.random.default_rng(seed), ([], [])
     for text in texts:
-        spans, coded = base_spans(text), encode(text)
-        for k, (a, b) in enumerate(regions(text)):
-            for start in range(max(0, a - (7 * k) % 23), max(a + 1, b - WINDOW // 2), WINDOW):
-                if len(codes) >= limit:
-                    return np.array(codes), np.array(tags)
-                piece = coded[start : start + WINDOW]
-                pad = WINDOW - len(piece)
-                codes.append(np.pad(piece, (0, pad), constant_values=10))
-                tags.append(np.pad(_tags(len(piece), spans, start), (0, pad)))
-    return (np.array(codes), np.array(tags)) if codes else (np.empty((0, WINDOW), np.int64), np.empty((0, WINDOW), np.int64))
+        spans = base_spans(text)
+        for own, where in [(text, spans), varied(text, spans, rng)] if spans else [(text, spans)]:
+            coded = encode(own)
+            for k, (a, b) in enumerate(regions(own)):
+                for start in range(max(0, a - (7 * k) % 23), max(a + 1, b - WINDOW // 2), WINDOW):
+                    piece = coded[start : start + WINDOW]
+                    tags, pad = _tags(len(piece), where, start), WINDOW - len(piece)
+                    side = held[int(tags.any())]
+                    if len(side) < limit // 2:
+                        side.append((np.pad(piece, (0, pad), constant_values=10), np.pad(tags, (0, pad))))
+    both = held[1] + held[0]
+    return (np.array([c for c, _ in both]), np.array([t for _, t in both])) if both else (np.empty((0, WINDOW), np.int64), np.empty((0, WINDOW), np.int64))
 
 
 def _edge_weight() -> np.ndarray:
@@ -271,57 +313,103 @@ def _edge_weight() -> np.ndarray:
     return (np.minimum(i, WINDOW - 1 - i) + 1).astype(np.float32)
 
 
+SPELLED_AT = re.compile(r"\s*[(\[{]\s*(?:at|AT)\s*[)\]}]\s*|\s*@\s*")
+SPELLED_DOT = re.compile(r"\s*[(\[{]\s*(?:dot|DOT|\.)\s*[)\]}]\s*|\s+\.\s+")
+EMAIL = re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
+CARD_SIGNS = re.compile(r"[0-9][0-9\s./_-]*[0-9]")
+PHONE_SIGNS = re.compile(r"(?:\+|00?|\()[0-9\s()./-]*[0-9]")
+
+
 def _plausible(kind: str, piece: str) -> bool:
-    """A shape that the kind can have; numbers that fail their kind's check are no personal data, whatever the model says."""
+    """Whether a piece can be read as its kind once signs are no longer spelled out or spaced. Wider than the base rules:
+    a bare number is never enough, and numbers that fail their kind's check are no personal data, whatever the model says."""
     digits = NOT_DIGIT.sub("", piece)
     if kind == "email":
-        return piece.count("@") == 1 and "." in piece.rpartition("@")[2] and not piece.startswith("@")
+        return EMAIL.fullmatch(SPELLED_DOT.sub(".", SPELLED_AT.sub("@", piece))) is not None
     if kind == "ip":
-        parts = piece.split(".")
-        return len(parts) == 4 and all(p.isdigit() and len(p) <= 3 and int(p) <= 255 for p in parts)
+        parts = SPELLED_DOT.sub(".", piece).split(".")
+        return len(parts) == 4 and all(p.isascii() and p.isdigit() and len(p) <= 3 and int(p) <= 255 for p in parts)
     if kind == "card":
-        return 12 <= len(digits) <= 19 and luhn(digits)
-    return 9 <= len(digits) <= 15 and len(digits) < len(piece) and "@" not in piece
+        return CARD_SIGNS.fullmatch(piece) is not None and 12 <= len(digits) <= 19 and luhn(digits)
+    return PHONE_SIGNS.fullmatch(piece) is not None and 9 <= len(digits) <= 15 and len(re.findall("[0-9]+", piece)) >= 3
+
+
+def _pieces(a: int, b: int) -> Iterator[tuple[int, int, int, int]]:
+    """(start, end, from, to): what is decoded together of a region, and the part of it whose spans count."""
+    for k in range(a, b, PIECE):
+        yield max(a, k - OVERLAP), min(b, k + PIECE + OVERLAP), k, min(b, k + PIECE)
+
+
+def _decoded(model: Tagger, jobs: list[tuple], windows: list[np.ndarray]) -> Iterator[tuple[int, list[tuple[str, int, int, float]]]]:
+    """(text number, spans with their sureness) of pieces whose windows go through the network together."""
+    em = np.concatenate([model.emissions(np.array(windows[i : i + 512])) for i in range(0, len(windows), 512)])
+    weight = _edge_weight()[:, None]
+    jobs = sorted(jobs, key=lambda j: j[2] - j[1])
+    for at in range(0, len(jobs), 64):
+        part = jobs[at : at + 64]
+        lengths = np.array([b - a for _, a, b, *_ in part])
+        blended = np.zeros((len(part), int(lengths.max()), TAGS), np.float32)
+        for row, (_, a, b, _, _, first, starts) in enumerate(part):
+            norm = np.zeros((b - a, 1), np.float32)
+            for k, s in enumerate(starts):
+                size = min(WINDOW, b - s)
+                blended[row, s - a : s - a + size] += em[first + k][:size] * weight[:size]
+                norm[s - a : s - a + size] += weight[:size]
+            blended[row, : b - a] /= np.maximum(norm, 1e-9)
+        best = model.decode(blended, lengths)
+        best[np.arange(best.shape[1]) >= lengths[:, None]] = 0
+        some = np.flatnonzero(best.any(axis=1))
+        if not len(some):
+            continue
+        sure = model.sureness(blended[some], lengths[some], best[some])
+        for row, own in zip(some.tolist(), sure, strict=True):
+            n, a, b, low, high, *_ = part[row]
+            tags, t, spans = best[row], 0, []
+            while t < b - a:
+                if tags[t] == 0:
+                    t += 1
+                    continue
+                k, end = (tags[t] - 1) // 2, t + 1
+                while end < b - a and tags[end] == 2 + 2 * k:
+                    end += 1
+                if low <= a + t < high:
+                    spans.append((KINDS[k], a + t, a + end, float(own[t:end].mean())))
+                t = end
+            yield n, spans
 
 
 def added_spans(model: Tagger, texts: list[tuple[str, list[tuple[str, int, int]]]]) -> list[list[tuple[str, int, int]]]:
-    """For each (text, base spans) the spans that the model adds. Windows of all texts go through the network together."""
+    """For each (text, base spans) the spans that the model adds. At most FLUSH windows, and those of one piece, are held at once."""
     out: list[list[tuple[str, int, int]]] = [[] for _ in texts]
     jobs, windows = [], []
+
+    def flush() -> None:
+        for n, spans in _decoded(model, jobs, windows) if windows else ():
+            text, base = texts[n]
+            out[n] += [(k, a, b) for k, a, b, sure in spans if sure >= LEAST_SURE and _plausible(k, text[a:b]) and not any(x < b and a < y for _, x, y in base)]
+        jobs.clear()
+        windows.clear()
+
     for n, (text, _) in enumerate(texts):
-        coded = encode(text) if CUE.search(text) else None
-        for a, b in regions(text) if coded is not None else ():
-            starts = list(range(a, max(a + 1, b - STRIDE), STRIDE))
-            jobs.append((n, a, b, len(windows), starts))
-            windows += [np.pad(coded[s : min(s + WINDOW, b)], (0, WINDOW - len(coded[s : min(s + WINDOW, b)])), constant_values=10) for s in starts]
-    if not windows:
-        return out
-    em = np.concatenate([model.emissions(np.array(windows[i : i + 512])) for i in range(0, len(windows), 512)])
-    weight = _edge_weight()[:, None]
-    for n, a, b, first, starts in jobs:
-        total, norm = np.zeros((b - a, TAGS), np.float32), np.zeros((b - a, 1), np.float32)
-        for k, s in enumerate(starts):
-            size = min(WINDOW, b - s)
-            total[s - a : s - a + size] += em[first + k][:size] * weight[:size]
-            norm[s - a : s - a + size] += weight[:size]
-        blended = total / np.maximum(norm, 1e-9)
-        best = model.decode(blended)
-        if not best.any():
-            continue
-        sure = model.sureness(blended, best)
-        text, base = texts[n]
-        t = 0
-        while t < b - a:
-            if best[t] == 0:
-                t += 1
-                continue
-            k, end = (best[t] - 1) // 2, t + 1
-            while end < b - a and best[end] == 2 + 2 * k:
-                end += 1
-            lo, hi = a + t, a + end
-            if _plausible(KINDS[k], text[lo:hi]) and float(sure[t:end].mean()) >= LEAST_SURE and not any(x < hi and lo < y for _, x, y in base):
-                out[n].append((KINDS[k], lo, hi))
-            t = end
+        found = regions(text)
+        coded = encode(text) if found else None
+        for a, b in found:
+            for start, end, low, high in _pieces(a, b):
+                starts = list(range(start, max(start + 1, end - STRIDE), STRIDE))
+                jobs.append((n, start, end, low, high, len(windows), starts))
+                windows += [np.pad(coded[s : min(s + WINDOW, end)], (0, WINDOW - (min(s + WINDOW, end) - s)), constant_values=10) for s in starts]
+                if len(windows) >= FLUSH:
+                    flush()
+    flush()
+    return [_apart(spans) for spans in out]
+
+
+def _apart(spans: list[tuple[str, int, int]]) -> list[tuple[str, int, int]]:
+    """Spans in order, without those that begin within another (pieces of one region may cut it differently)."""
+    out: list[tuple[str, int, int]] = []
+    for s in sorted(spans, key=lambda s: s[1:]):
+        if not out or s[1] >= out[-1][2]:
+            out.append(s)
     return out
 
 
@@ -329,15 +417,15 @@ def digest(spans: list[tuple[str, int, int]]) -> str:
     return ",".join(f"{k}:{a}:{b}" for a, _, b, k in sorted((a, KINDS.index(k), b, k) for k, a, b in spans))
 
 
-def train(docs: DataFrame, limit: int = TRAIN_DOCS) -> Tagger | None:
-    """A tagger fitted to the labelled spans of at most ``limit`` texts of at most 4000 characters each; None without spans.
+def train(docs: DataFrame, limit: int = TRAIN_DOCS, longest: int = TRAIN_CHARS) -> Tagger | None:
+    """A tagger fitted to the labelled spans of at most ``limit`` distinct texts of at most ``longest`` characters each; None without spans.
 
     The texts come from a hash sample of about ``SAMPLE_DOCS`` documents, so that what tasks send doesn't grow with their number."""
     h = F.xxhash64("text")
     every = max(1, docs.count() // SAMPLE_DOCS)
-    some = docs.select("text").filter((F.pmod(h, F.lit(every)) == 0) & F.col("text").rlike("[0-9@]") & (F.length("text") <= 4000)).select(h.alias("h"), "text")
-    texts = [r["text"] for r in some.orderBy("h", "text").limit(limit).collect()]  # bounded
-    codes, tags = training_windows(list(dict.fromkeys(texts)))
+    some = docs.select("text").filter((F.pmod(h, F.lit(every)) == 0) & F.col("text").rlike("[0-9@]") & (F.length("text") <= longest)).distinct()
+    texts = [r["text"] for r in some.withColumn("h", h).orderBy("h", "text").limit(limit).collect()]  # bounded
+    codes, tags = training_windows(texts)
     return Tagger().fit(codes, tags) if tags.any() else None
 
 
