@@ -41,14 +41,17 @@ qb AS (
 q AS (
   SELECT *, CASE WHEN b1 < 32 THEN b1 ELSE (b1 - 16 * (b1 // 16 - 1)) << (b1 // 16 - 1)::INTEGER END AS q1,
     CASE WHEN b3 < 32 THEN b3 ELSE (b3 - 16 * (b3 // 16 - 1)) << (b3 // 16 - 1)::INTEGER END - 1 AS q3 FROM qb),
-f AS (SELECT level, lang, source, metric, total, CASE WHEN two THEN q1 - 6 * greatest(q3 - q1, spread) ELSE -1 END AS low, q3 + 6 * greatest(q3 - q1, spread) AS high FROM q),
+q_lang AS (
+  SELECT l.lang, l.metric, (l.total::BIGINT * l.q1 + 100 * g.q1) // (l.total::BIGINT + 100) AS q1, (l.total::BIGINT * l.q3 + 100 * g.q3) // (l.total::BIGINT + 100) AS q3
+  FROM q l JOIN q g ON g.level = 2 AND g.metric = l.metric WHERE l.level = 1),
+q_own AS (
+  SELECT o.lang, o.source, o.metric, o.spread, o.two, (o.total::BIGINT * o.q1 + 100 * l.q1) // (o.total::BIGINT + 100) AS q1, (o.total::BIGINT * o.q3 + 100 * l.q3) // (o.total::BIGINT + 100) AS q3
+  FROM q o JOIN q_lang l ON l.metric = o.metric AND l.lang IS NOT DISTINCT FROM o.lang WHERE o.level = 0),
+f AS (SELECT *, CASE WHEN two THEN q1 - 6 * greatest(q3 - q1, spread) ELSE -1 END AS low, q3 + 6 * greatest(q3 - q1, spread) AS high FROM q_own),
 bad AS (
   SELECT DISTINCT m.doc_id FROM m
-  JOIN f f0 ON f0.level = 0 AND f0.metric = m.metric AND f0.lang IS NOT DISTINCT FROM m.lang AND f0.source IS NOT DISTINCT FROM m.source
-  JOIN f f1 ON f1.level = 1 AND f1.metric = m.metric AND f1.lang IS NOT DISTINCT FROM m.lang
-  JOIN f f2 ON f2.level = 2 AND f2.metric = m.metric
-  WHERE NOT v BETWEEN CASE WHEN f0.total >= 100 THEN f0.low WHEN f1.total >= 100 THEN f1.low ELSE f2.low END
-    AND CASE WHEN f0.total >= 100 THEN f0.high WHEN f1.total >= 100 THEN f1.high ELSE f2.high END)
+  JOIN f ON f.metric = m.metric AND f.lang IS NOT DISTINCT FROM m.lang AND f.source IS NOT DISTINCT FROM m.source
+  WHERE NOT v BETWEEN low AND high)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
   (NOT base_failed AND doc_id NOT IN (SELECT doc_id FROM bad)) AS kept
 FROM b

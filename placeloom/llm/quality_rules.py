@@ -3,8 +3,9 @@
 Fixed cutoffs are replaced by fences read from quantile sketches, one for each (lang, source) and metric. A sketch is a
 log-linear histogram: bucket 16 * e + (v >> e) with e chosen so that v >> e < 32, hence a relative error of at most 1/16.
 Histograms merge by adding counts, so they are built by map-side partial aggregation, and the sketches of a language or
-of the corpus are sums of the smaller ones. A group with fewer than ``min_group`` documents falls back to its
-language, and a language with fewer to the corpus. A document is rejected if a metric lies beyond its fence, which is
+of the corpus are sums of the smaller ones. The quartiles of a language are drawn to those of the corpus, and those of a
+group to its language's, as if each held ``prior`` documents of the wider one; so small groups have sound fences, and none
+changes its rule at some size. A document is rejected if a metric lies beyond its fence, which is
 the quartile plus ``reach`` times the larger of the interquartile range and the metric's least spread.
 
 Defined cases: a null or empty text has no words and fails the base rule; null lang or source is a group of its own;
@@ -29,7 +30,7 @@ SYMBOLS = "#*$%&|<>"
 #: Metric, least spread, whether there is a lower fence too.
 METRICS = (("word_length", 20, True), ("symbol_rate", 50, False), ("dup_line_rate", 50, False), ("repeat_rate", 40, False))
 REACH = 6
-MIN_GROUP = 100
+PRIOR = 100
 COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
 _P = "__pl_"
 
@@ -118,26 +119,24 @@ def _quartiles(hist: DataFrame, keys: list[str]) -> DataFrame:
     )
 
 
-def fences(hist: DataFrame, min_group: int = MIN_GROUP, reach: int = REACH) -> DataFrame:
+def fences(hist: DataFrame, prior: int = PRIOR, reach: int = REACH) -> DataFrame:
     """(lang, source, low, high): for each group an array of lower and of upper fences, in the order of METRICS."""
-    spread = F.create_map(*[F.lit(x) for m, s, _ in METRICS for x in (m, s)])
-    two_sided = F.col("metric").isin([m for m, _, both in METRICS if both])
-    levels = []
-    for keys in (["lang", "source"], ["lang"], []):
-        q = _quartiles(hist, keys)
-        gap = reach * F.greatest(F.col("q3") - F.col("q1"), spread[F.col("metric")].cast("long"))
-        levels.append(q.select(*[F.col(k).alias(f"k_{k}") for k in keys], F.col("metric").alias("k_metric"), "total", F.when(two_sided, F.col("q1") - gap).otherwise(F.lit(-1).cast("long")).alias("low"), (F.col("q3") + gap).alias("high")))
-    groups = hist.select("lang", "source", "metric").distinct()
-    out = groups
-    for i, (level, keys) in enumerate(zip(levels, (["lang", "source"], ["lang"], []), strict=True)):
+    out = hist.select("lang", "source", "metric").distinct()
+    for i, keys in enumerate((["lang", "source"], ["lang"], [])):
+        level = _quartiles(hist, keys)
         level = level.select(*[F.col(c).alias(f"l{i}_{c}") for c in level.columns])
-        on = F.col("metric") == level[f"l{i}_k_metric"]
+        on = F.col("metric") == level[f"l{i}_metric"]
         for k in keys:
-            on &= F.col(k).eqNullSafe(level[f"l{i}_k_{k}"])
-        out = out.join(level, on, "left")
-    pick = lambda c: F.when(F.col("l0_total") >= min_group, F.col(f"l0_{c}")).when(F.col("l1_total") >= min_group, F.col(f"l1_{c}")).otherwise(F.col(f"l2_{c}"))
+            on &= F.col(k).eqNullSafe(level[f"l{i}_{k}"])
+        out = out.join(level, on)
+    for i in (1, 0):
+        out = out.withColumns({f"l{i}_{q}": F.expr(f"(l{i}_total * l{i}_{q} + {prior}L * l{i + 1}_{q}) div (l{i}_total + {prior}L)") for q in ("q1", "q3")})
+    spread = F.create_map(*[F.lit(x) for m, s, _ in METRICS for x in (m, s)])
+    two_sided = F.col("metric").isin([m for m, _, both in METRICS if both])
+    gap = reach * F.greatest(F.col("l0_q3") - F.col("l0_q1"), spread[F.col("metric")].cast("long"))
+    out = out.select("lang", "source", "metric", F.when(two_sided, F.col("l0_q1") - gap).otherwise(F.lit(-1).cast("long")).alias("low"), (F.col("l0_q3") + gap).alias("high"))
     bound = lambda c: F.array(*[F.max(F.when(F.col("metric") == m, F.col(c))) for m, _, _ in METRICS])
-    return out.select("lang", "source", "metric", pick("low").alias("low"), pick("high").alias("high")).groupBy("lang", "source").agg(bound("low").alias(f"{_P}low"), bound("high").alias(f"{_P}high"))
+    return out.groupBy("lang", "source").agg(bound("low").alias(f"{_P}low"), bound("high").alias(f"{_P}high"))
 
 
 def judged(measured: DataFrame, limits: DataFrame) -> DataFrame:
@@ -148,25 +147,19 @@ def judged(measured: DataFrame, limits: DataFrame) -> DataFrame:
     return bounded_join(measured, limits, ["lang", "source"], "left").withColumn(f"{_P}kept", ok)
 
 
-def score_documents(docs: DataFrame, min_group: int = MIN_GROUP, reach: int = REACH) -> DataFrame:
+def score_documents(docs: DataFrame, prior: int = PRIOR, reach: int = REACH) -> DataFrame:
     """One row per document: doc_id, the five counts, base_failed, kept, lang, source."""
     slim = docs.select("doc_id", "text", "lang", "source")
     measured = stage(with_metrics(with_counts(slim)).drop("text"), "quality")
-    limits = stage(fences(sketches(measured), min_group, reach), "fences")
+    limits = stage(fences(sketches(measured), prior, reach), "fences")
     out = judged(measured, limits)
     return out.select("doc_id", *[F.col(f"{_P}{c}").alias(c) for c in COUNTS], F.col(f"{_P}base_failed").alias("base_failed"), F.col(f"{_P}kept").alias("kept"), "lang", "source")
 
 
-def _settled(measured: DataFrame) -> DataFrame:
-    """The same rows with the metrics behind a generator: filters on them aren't pushed into the projections that compute
-    them, where every mention of a column would become a computation of its own."""
-    own = [c for c in measured.columns if c.startswith(_P)]
-    rest = [c for c in measured.columns if c not in own]
-    return measured.select(*rest, F.explode(F.array(F.struct(*own))).alias(f"{_P}all")).select(*rest, *[F.col(f"{_P}all.{c}").alias(c) for c in own])
-
-
-def filter_documents(docs: DataFrame, min_group: int = MIN_GROUP, reach: int = REACH) -> DataFrame:
-    """The rows of ``docs`` that the rules keep, with all their columns. Counts are taken in both passes, so that no text is exchanged."""
-    limits = stage(fences(sketches(_settled(with_metrics(with_counts(docs.select("text", "lang", "source"))))), min_group, reach), "fences")
-    rows = docs.select(F.struct(*docs.columns).alias("row"), "text", "lang", "source")
-    return judged(_settled(with_metrics(with_counts(rows))), limits).filter(f"{_P}kept").select("row.*")
+def filter_documents(docs: DataFrame, prior: int = PRIOR, reach: int = REACH) -> DataFrame:
+    """The rows of ``docs`` that the rules keep, with all their columns. Rows are staged beside their metrics, so that the
+    counts are taken once and no text is exchanged."""
+    rows = docs.select(F.struct(*docs.columns).alias(f"{_P}row"), "text", "lang", "source")
+    measured = stage(with_metrics(with_counts(rows)).drop("text"), "quality")
+    limits = stage(fences(sketches(measured), prior, reach), "fences")
+    return judged(measured, limits).filter(f"{_P}kept").select(f"{_P}row.*")
