@@ -75,3 +75,8 @@ def repeat_words(ws: list[str]) -> int:
     for i in range(len(ws) - 7):
         seen.setdefault(tuple(ws[i : i + 8]), []).append(i)
     return len({p for at in seen.values() if len(at) > 1 for i in at for p in range(i, i + 8)})
+
+
+def base_failed(text: str | None) -> bool:
+    ws = WORD.findall(text or "")
+    return len(ws) < 20 or 100 * repeat_words(ws) > 30 * len(ws)
