@@ -2,50 +2,57 @@
 
 from __future__ import annotations
 
-import tempfile
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-_LOCAL: list[str] = []
+from placeloom.operators.staging import stage
+
+
+def _pointed(edges: DataFrame, upwards: bool) -> DataFrame:
+    """One star step over edges u > v. Upwards: the neighbours above a node are tied to the least of its neighbourhood, itself
+    included. Else: the node and its neighbours below are tied to the least of these."""
+    near = edges.select(F.col("u").alias("at"), F.col("v").alias("other"))
+    if upwards:
+        near = near.unionAll(edges.select(F.col("v").alias("at"), F.col("u").alias("other")))
+    least = near.groupBy("at").agg(F.least("at", F.min("other")).alias("least"))
+    tied = near.join(least, "at")
+    tied = tied.filter("other > at").select(F.col("other").alias("u"), F.col("least").alias("v")) if upwards else tied.select(F.explode(F.array("at", "other")).alias("u"), F.col("least").alias("v"))
+    return tied.filter("u <> v").distinct()
 
 
-def checkpointed(df: DataFrame) -> DataFrame:
-    """A reliable checkpoint in spark.checkpoint.dir; a folder of one's own only where that is unset."""
-    context = df.sparkSession.sparkContext
-    if context.getConf().get("spark.checkpoint.dir", None) is None and context._jsc.sc().getCheckpointDir().isEmpty():
-        if not _LOCAL:
-            _LOCAL.append("file://" + tempfile.mkdtemp(prefix="placeloom-checkpoint-"))
-        context.setCheckpointDir(_LOCAL[0])
-    return df.checkpoint()
+def _is_flat(edges: DataFrame) -> bool:
+    """Whether every node points to one node, which points nowhere."""
+    ends = edges.select(F.col("u").alias("node"), F.lit(1).alias("out"), F.lit(0).alias("in")).unionAll(edges.select("v", F.lit(0), F.lit(1)))
+    return ends.groupBy("node").agg(F.sum("out").alias("out"), F.max("in").alias("in")).filter("out > 1 OR out + in > 1").isEmpty()
 
 
 def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst", max_rounds: int = 60) -> DataFrame:
-    """(node, component) with the least node id as the component, by min-label propagation with pointer jumping.
+    """(node, component) with the least node id as the component, by alternating star steps; nodes without another are left out.
 
-    A round is two aggregations and one self-join of labels; labels are checkpointed, so lineage stays short.
+    Each round ties nodes nearer to their component's least one, so the edges shrink towards one per node, hubs are combined
+    map-side, and the number of rounds grows with the logarithm of the graph. Rounds are staged, so lineage stays short.
+    Raises if ``max_rounds`` rounds don't settle it.
     """
-    e = edges.select(F.col(src).alias("u"), F.col(dst).alias("v")).filter("u <> v")
-    e = checkpointed(e.unionAll(e.select(F.col("v").alias("u"), F.col("u").alias("v"))).distinct())
-    labels = checkpointed(e.groupBy("u").agg(F.least(F.col("u"), F.min("v")).alias("c")))
+    u, v = F.col(src), F.col(dst)
+    e = stage(edges.filter(u != v).select(F.greatest(u, v).alias("u"), F.least(u, v).alias("v")).distinct(), "edges")
     for _ in range(max_rounds):
-        near = e.join(labels.select(F.col("u").alias("v"), F.col("c").alias("cv")), "v").groupBy("u").agg(F.min("cv").alias("m"))
-        step = labels.join(near, "u").select("u", "c", F.least("c", "m").alias("n"))
-        jump = step.join(step.select(F.col("u").alias("n"), F.col("n").alias("j")), "n", "left").select("u", "c", F.least("n", F.coalesce("j", "n")).alias("n"))
-        jump = checkpointed(jump)
-        changed = jump.filter("c <> n").limit(1).count()
-        labels = jump.select("u", F.col("n").alias("c"))
-        if not changed:
+        if _is_flat(e):
             break
-    return labels.select(F.col("u").alias("node"), F.col("c").alias("component"))
+        e = stage(_pointed(_pointed(e, True), False), "edges")
+    else:
+        raise RuntimeError(f"components did not settle in {max_rounds} rounds")
+    return e.select(F.col("u").alias("node"), F.col("v").alias("component")).unionAll(e.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())
 
 
 def succession_closure(spark: SparkSession, links: DataFrame, max_depth: int = 100) -> DataFrame:
     """Every predecessor with each of its final successors (those that have none themselves), by a recursive query with a cycle guard.
 
     ``links``: pred, succ, link_date, transfer, continuity. Result: pred, succ, earliest date, whether every link
-    transferred, whether every link was continuous, and the depth of the longest path.
+    transferred, whether every link was continuous, and the depth of the longest path. Depth is what ends the recursion, so
+    Spark's own limit of rows is lifted while the plan is made.
     """
+    limit = "spark.sql.cteRecursionRowLimit"
+    spark.conf.set(limit, "-1")
     links.select("pred", "succ", "link_date", "transfer", "continuity").createOrReplaceTempView("__pl_links")
     return spark.sql(f"""
         WITH RECURSIVE paths AS (
