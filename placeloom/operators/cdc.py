@@ -94,19 +94,20 @@ def route_logs(logs: DataFrame, actions: DataFrame, key: str) -> DataFrame:
 def survivorship(df: DataFrame, group: str, fields: list[str], rank: Column, keep_empty: tuple[str, ...] = ()) -> DataFrame:
     """One row per group: each field's value of the best-ranked row that has one; fields in ``keep_empty`` may be ''.
 
-    All fields in one aggregation; ``rank`` must be unique within a group."""
+    All fields in one aggregation; of rows with equal ``rank`` the least value wins."""
     aggs = []
     for c in fields:
         usable = F.col(c).isNotNull() if c in keep_empty else F.col(c).isNotNull() & (F.col(c).cast("string") != "")
-        aggs.append(F.min_by(F.when(usable, F.col(c)), F.when(usable, rank)).alias(c))
+        aggs.append(F.min(F.when(usable, F.struct(rank.alias("rank"), F.col(c).alias("value"))))["value"].alias(c))
     return df.groupBy(group).agg(*aggs)
 
 
 def choose_parents(clusters: DataFrame, cluster: str, key: str, is_parent: str, n_children: str, active: Column) -> DataFrame:
-    """(cluster, parent_id, created): the only parent, or the active one with most children, or a new id from the sorted members."""
+    """(cluster, parent_id, created): the only parent, or the active one with most children (the least key of equals), or a new id from the sorted members."""
     from placeloom.functions.ids import uuid5_of_set
 
-    best = F.max_by(F.when(F.col(is_parent), F.col(key)), F.when(F.col(is_parent), F.struct(active.cast("int"), F.col(n_children))))
+    order = F.struct((~active).cast("int").alias("a"), (-F.col(n_children)).alias("n"), F.col(key).alias("k"))
+    best = F.min_by(F.col(key), F.when(F.col(is_parent), order))
     return clusters.groupBy(cluster).agg(F.array_sort(F.collect_set(F.col(key).cast("string"))).alias("members"), best.alias("best")).select(cluster, F.coalesce(F.col("best").cast("string"), uuid5_of_set(F.col("members"))).alias("parent_id"), F.col("best").isNull().alias("created"))
 
 
@@ -138,12 +139,13 @@ def stale_revisions(base: DataFrame, revision: DataFrame, key: str, modified: st
 
 
 def url_cohorts(urls: DataFrame, results: DataFrame) -> DataFrame:
-    """Classifies crawled urls; ``results`` (url, reached, final_url) comes from outside, as a table."""
+    """Classifies crawled urls; ``results`` (url, reached, final_url, and dns_ok if domains were resolved) comes from outside, as a table."""
     from placeloom.functions.text import url_is_valid, urls_standard_difference
 
     joined = urls.join(results, "url", "left")
     same, near = F.col("final_url") == F.col("url"), urls_standard_difference(F.col("url"), F.col("final_url"))
-    cohort = F.when(~url_is_valid(F.col("url")), "syntax_fail").when(~F.coalesce("reached", F.lit(False)), "crawl_fail").when(same, "crawl_ok_same").when(near, "crawl_diff_standard").otherwise("crawl_diff_other")
+    dns_ok = F.coalesce("dns_ok", F.lit(False)) if "dns_ok" in results.columns else F.lit(True)
+    cohort = F.when(~url_is_valid(F.col("url")), "syntax_fail").when(~dns_ok, "dns_fail").when(~F.coalesce("reached", F.lit(False)), "crawl_fail").when(same, "crawl_ok_same").when(near, "crawl_diff_standard").otherwise("crawl_diff_other")
     return joined.withColumn("cohort", cohort)
 
 
