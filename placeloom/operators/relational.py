@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from placeloom.functions.text import coalesce_empty
+from placeloom.operators.staging import stage
 
 
 def overlay_merge(base: DataFrame, revision: DataFrame, key: str, prefer_base: tuple[str, ...] = ()) -> DataFrame:
@@ -80,15 +81,18 @@ def top_one(df: DataFrame, partition: list[str], *order: Column) -> DataFrame:
 
 
 def surrogate_key(df: DataFrame, order: list[str], name: str = "id") -> DataFrame:
-    """1, 2, 3, … in the given order without a single-partition window.
+    """1, 2, 3, … in the given order without a single-partition window; rows that are equal in ``order`` are told apart by the other columns.
 
-    Rows are range-partitioned and sorted; each partition's size (as many numbers as partitions) gives its offset.
+    Rows are range-partitioned, sorted and staged with their place in the partition, so that sizes and numbers are read from
+    one and the same layout. Each partition's size (as many numbers as partitions) gives its offset.
     """
-    spread = df.repartitionByRange(*[F.col(c).asc_nulls_last() for c in order]).sortWithinPartitions(*[F.col(c).asc_nulls_last() for c in order]).withColumn("__pl_m", F.monotonically_increasing_id())
-    spread = spread.withColumns({"__pl_p": F.shiftright("__pl_m", 33), "__pl_i": F.col("__pl_m").bitwiseAND((1 << 33) - 1)})
-    sizes = spread.groupBy("__pl_p").agg(F.count(F.lit(1)).alias("__pl_n"))
+    plain = [f.name for f in df.schema if isinstance(f.dataType, T.AtomicType) and f.name not in order]
+    by = [F.col(c).asc_nulls_last() for c in (*order, *plain)]
+    placed = df.repartitionByRange(*by).sortWithinPartitions(*by).withColumn("__pl_m", F.monotonically_increasing_id())
+    placed = stage(placed, "numbered").withColumns({"__pl_p": F.shiftright("__pl_m", 33), "__pl_i": F.col("__pl_m").bitwiseAND((1 << 33) - 1)})
+    sizes = placed.groupBy("__pl_p").agg(F.count(F.lit(1)).alias("__pl_n"))
     offsets = sizes.withColumn("__pl_o", F.coalesce(F.sum("__pl_n").over(W.orderBy("__pl_p").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))).select("__pl_p", "__pl_o")
-    return spread.join(offsets, "__pl_p").withColumn(name, F.col("__pl_o") + F.col("__pl_i") + 1).drop("__pl_m", "__pl_p", "__pl_i", "__pl_o", "__pl_n")
+    return placed.join(offsets, "__pl_p").withColumn(name, F.col("__pl_o") + F.col("__pl_i") + 1).drop("__pl_m", "__pl_p", "__pl_i", "__pl_o")
 
 
 def group_and_total(df: DataFrame, keys: list[str], aggs: list[Column], total_labels: dict[str, Column]) -> DataFrame:
