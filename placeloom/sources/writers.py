@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+import uuid
 from datetime import datetime, timedelta
 
 from pyspark.sql import DataFrame, SparkSession
@@ -48,31 +50,89 @@ def replace_partitions(df: DataFrame, path: str, keys: list[str]) -> None:
     df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*keys).parquet(path)
 
 
+#: A stamp of a published version: letters, digits and hyphens, so a longer table name is never taken for one.
+STAMP = re.compile(r"[A-Za-z0-9-]+")
+
+
+def versions(spark: SparkSession, root: str, name: str) -> list[str]:
+    """Paths of the published versions of exactly this table, oldest first."""
+    own = [p for p in listing(spark, root) if p.rsplit("/", 1)[1].startswith(f"{name}__") and STAMP.fullmatch(p.rsplit("/", 1)[1].removeprefix(f"{name}__"))]
+    return sorted(own)
+
+
 def publish(df: DataFrame, root: str, name: str, stamp: str, validate=None, keep: int = 2) -> DataFrame:
-    """Blue/green: writes ``root/name_stamp``, validates it, points the view ``name_in_use`` at it, and removes old versions."""
+    """Blue/green: writes ``root/name__stamp``, validates it, points the view ``name_in_use`` at it, and removes older versions of
+    this table. What was just published stays, whatever its stamp."""
+    if not STAMP.fullmatch(stamp) or "__" in name:
+        raise ValueError(f"not a table and a stamp: {name}, {stamp}")
     spark = df.sparkSession
-    path = f"{root}/{name}_{stamp}"
+    path = f"{root}/{name}__{stamp}"
     df.write.mode("overwrite").parquet(path)
     written = spark.read.parquet(path)
     if validate is not None and not validate(written):
         delete(spark, path)
-        raise ValueError(f"{name}_{stamp} is not valid; the view stays as it is")
+        raise ValueError(f"{name}__{stamp} is not valid; the view stays as it is")
     written.createOrReplaceTempView(f"{name}_in_use")
-    versions = [p for p in listing(spark, root) if p.rsplit("/", 1)[1].startswith(f"{name}_")]
-    for old in versions[:-keep]:
+    others = [p for p in versions(spark, root, name) if p.rsplit("/", 1)[1] != f"{name}__{stamp}"]
+    for old in others[: max(0, len(others) - (keep - 1))]:
         delete(spark, old)
     return written
 
 
+def _write_text(spark: SparkSession, path: str, text: str) -> None:
+    """Replaces a small file whole: a new one is written beside it and renamed over it."""
+    fs, p, jvm = _fs(spark, path)
+    beside = jvm.org.apache.hadoop.fs.Path(f"{path}.{uuid.uuid4().hex}")
+    out = fs.create(beside, True)
+    out.write(bytearray(text.encode()))
+    out.close()
+    context = jvm.org.apache.hadoop.fs.FileContext.getFileContext(p.toUri(), spark.sparkContext._jsc.hadoopConfiguration())
+    kinds = spark.sparkContext._gateway.new_array(jvm.org.apache.hadoop.fs.Options.Rename, 1)
+    kinds[0] = jvm.org.apache.hadoop.fs.Options.Rename.OVERWRITE
+    context.rename(beside, p, kinds)
+
+
+def _read_text(spark: SparkSession, path: str) -> str | None:
+    return spark.read.text(path, wholetext=True).first()[0].strip() if exists(spark, path) else None
+
+
 def swap(df: DataFrame, path: str) -> None:
-    """Writes beside the table and renames, so that readers see the old or the new one whole."""
+    """Writes the next version below ``path`` and then moves the pointer ``path/CURRENT`` to it in one rename. Readers (``current``)
+    see the old table whole or the new one; a failure before the rename changes nothing for them. The version before the
+    last stays for readers that are at work."""
     spark = df.sparkSession
-    df.write.mode("overwrite").parquet(f"{path}__new")
-    if exists(spark, path):
-        delete(spark, f"{path}__old")
-        rename(spark, path, f"{path}__old")
-    rename(spark, f"{path}__new", path)
-    delete(spark, f"{path}__old")
+    pointer, version = f"{path}/CURRENT", f"v-{uuid.uuid4().hex}"
+    before = _read_text(spark, pointer)
+    df.write.parquet(f"{path}/{version}")
+    _write_text(spark, pointer, version)
+    for old in listing(spark, path):
+        if old.rsplit("/", 1)[1].startswith("v-") and old.rsplit("/", 1)[1] not in (version, before):
+            delete(spark, old)
+
+
+def current(spark: SparkSession, path: str) -> DataFrame:
+    """The table that ``swap`` put in place last."""
+    version = _read_text(spark, f"{path}/CURRENT")
+    if version is None:
+        raise FileNotFoundError(f"no table at {path}")
+    return spark.read.parquet(f"{path}/{version}")
+
+
+def export_excel(df: DataFrame, path: str, order: list[str]) -> int:
+    """An export for people: rows in order, fetched partition by partition and streamed to one sheet; needs an Excel package."""
+    try:
+        from openpyxl import Workbook
+    except ImportError as e:
+        raise RuntimeError("writing Excel needs openpyxl") from e
+    book = Workbook(write_only=True)
+    sheet = book.create_sheet()
+    sheet.append(df.columns)
+    rows = 0
+    for r in df.orderBy(*order).toLocalIterator():
+        sheet.append([None if v is None else str(v) for v in r])
+        rows += 1
+    book.save(path)
+    return rows
 
 
 def export_csv(df: DataFrame, root: str, name: str, stamp: str) -> tuple[str, str]:
