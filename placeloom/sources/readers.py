@@ -2,10 +2,15 @@
 
 from __future__ import annotations
 
+import csv
+import gzip
+import io
 import json
 import re
+import zipfile
 from collections.abc import Callable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -85,6 +90,59 @@ def align(df: DataFrame, columns: list[str]) -> DataFrame:
     return df.select(*[(F.coalesce(F.col(c).cast("string"), F.lit("")) if c in df.columns else F.lit("")).alias(c) for c in columns])
 
 
+def zipped_csv(spark: SparkSession, path: str, columns: list[str], member: str = "", sep: str = ";", encoding: str = "UTF-8", substitutions: tuple[tuple[str, str], ...] = ()) -> DataFrame:
+    """CSV files inside zip archives, all columns as text: one task per archive, which streams its members line by line.
+
+    ``member`` is part of the names wanted; ``encoding`` may be ISO-8859-1 or UTF-16-LE; bytes that can't be decoded are replaced;
+    ``substitutions`` mend corrupted text literally; the first line names the columns; lines with another number of fields are left out.
+    """
+    schema = T.StructType([T.StructField(c, T.StringType()) for c in columns])
+
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for content in batch.column("content"):
+                with zipfile.ZipFile(io.BytesIO(content.as_py())) as archive:
+                    for name in archive.namelist():
+                        if member in name and not name.endswith("/"):
+                            with archive.open(name) as raw:
+                                yield from _csv_batches(raw, columns, sep, encoding, substitutions)
+
+    return spark.read.format("binaryFile").load(path).select("content").mapInArrow(rows, schema)
+
+
+def gzipped_csv(spark: SparkSession, path: str, columns: list[str], sep: str = ",", encoding: str = "UTF-8", substitutions: tuple[tuple[str, str], ...] = ()) -> DataFrame:
+    """CSV in gzip files, decoded and mended as by ``zipped_csv``; nothing is unpacked to disk."""
+    schema = T.StructType([T.StructField(c, T.StringType()) for c in columns])
+
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for content in batch.column("content"):
+                with gzip.open(io.BytesIO(content.as_py())) as raw:
+                    yield from _csv_batches(raw, columns, sep, encoding, substitutions)
+
+    return spark.read.format("binaryFile").load(path).select("content").mapInArrow(rows, schema)
+
+
+def _csv_batches(raw, columns: list[str], sep: str, encoding: str, substitutions: tuple[tuple[str, str], ...], size: int = 5000) -> Iterator[pa.RecordBatch]:
+    def mended() -> Iterator[str]:
+        for line in io.TextIOWrapper(raw, encoding, errors="replace", newline=""):
+            for a, b in substitutions:
+                line = line.replace(a, b)
+            yield line.lstrip("\ufeff")
+
+    lines = csv.reader(mended(), delimiter=sep)
+    head = next(lines, [])
+    at, held = [head.index(c) if c in head else None for c in columns], []
+    for line in lines:
+        if len(line) == len(head):
+            held.append([None if i is None or line[i] == "" else line[i] for i in at])
+        if len(held) >= size:
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.string()) for c in zip(*held, strict=True)], columns)
+            held = []
+    if held:
+        yield pa.RecordBatch.from_arrays([pa.array(c, pa.string()) for c in zip(*held, strict=True)], columns)
+
+
 class _Page(InputPartition):
     def __init__(self, url: str) -> None:
         self.url = url
@@ -140,11 +198,22 @@ def paged(spark: SparkSession, url: str, columns: str, fetch: str, mode: str = "
     return spark.read.format("paged_json").option("url", url).option("columns", columns).option("fetch", fetch).option("mode", mode).load()
 
 
-#: Endpoint dispatch: the first pattern that a url matches names its reader.
-DISPATCH: list[tuple[str, Callable[..., DataFrame]]] = [(r"\.xlsx?$", excel), (r"\.geojson$", geojson), (r"\.csv(\.gz)?$", csv_text), (r"\.parquet$", parquet)]
+def _endpoint(mode: str) -> Callable[..., DataFrame]:
+    return lambda spark, url, **how: paged(spark, url, mode=mode, **how)
+
+
+#: Endpoint dispatch: the first pattern that a url matches names its reader. Files go by their ending; of JSON endpoints those that
+#: ``cursors`` or ``numbered`` name are read in pages, and others without a query string in one block.
+DISPATCH: list[tuple[str, Callable[..., DataFrame]]] = [(r"\.xlsx?$", excel), (r"\.geojson$", geojson), (r"\.zip$", zipped_csv), (r"\.csv\.gz$", gzipped_csv), (r"\.csv$", csv_text), (r"\.parquet$", parquet), (r"^https?://[^?]+$", _endpoint("single"))]
 
 
-def by_url(spark: SparkSession, url: str, **how) -> DataFrame:
+def by_url(spark: SparkSession, url: str, cursors: tuple[str, ...] = (), numbered: tuple[str, ...] = (), **how) -> DataFrame:
+    """The frame behind a url, by the reader that its shape names. ``cursors`` and ``numbered`` are hosts whose JSON endpoints follow
+    next links or count pages; an unknown shape raises."""
+    host = re.sub(r"^https?://([^/:?]+).*$", r"\1", url)
+    for hosts, mode in ((cursors, "cursor"), (numbered, "numbered")):
+        if any(host == h or host.endswith(f".{h}") for h in hosts):
+            return paged(spark, url, mode=mode, **how)
     for pattern, reader in DISPATCH:
         if re.search(pattern, url):
             return reader(spark, url, **how)
