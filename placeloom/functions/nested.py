@@ -75,26 +75,51 @@ def merge_intervals(intervals: Column) -> Column:
     return F.aggregate(F.array_sort(intervals), F.array().cast(kind), add)
 
 
+_DAY = f"(?:{'|'.join((*DAYS, 'PH', 'SH'))})"
+_SPAN = rf"{_DAY}(?:\s*-\s*{_DAY})?"
+_DAY_PART = rf"^{_SPAN}(?:\s*,\s*{_SPAN})*"
+
+
 def opening_hours(c: Column) -> Column:
-    """array<struct<day, intervals>> of ``Mo-Fr 09:00-12:00,14:00-18:00; Sa 10:00-12:00``; ``24/7`` is every day, whole days.
+    """array<struct<day, intervals>> of OSM hours such as ``Mo-Fr 09:00-12:00, 14:00-18:00; Sa 10:00-12:00; We off``.
 
+    ``24/7`` is every day, whole days; hours without days hold every day; day ranges may go round the week (``Fr-Mo``); the last
+    rule that names a day decides it, ``off`` and ``closed`` among them; parts of one rule add up; hours past midnight go on on
+    the next day; public and school holidays (``PH``, ``SH``) say nothing about a day of the week. Other forms give no hours.
     Native: rules are split, days expanded by position, and each day's intervals merged.
     """
     text = F.when(F.trim(c) == "24/7", F.lit("00:00-23:59")).otherwise(F.trim(c))
-    rules = F.filter(F.split(text, r";\s*"), lambda r: F.trim(r) != "")
-    rules = F.transform(rules, lambda r: F.when(F.trim(r).rlike("^[0-9]"), F.concat(F.lit("Mo-Su "), F.trim(r))).otherwise(F.trim(r)))
     order = F.array(*[F.lit(d) for d in DAYS])
 
-    def covers(rule: Column, day: int) -> Column:
-        parts = F.split(F.split(rule, " ")[0], ",")
-        first, last = lambda p: F.array_position(order, F.split(p, "-")[0]), lambda p: F.array_position(order, F.element_at(F.split(p, "-"), -1))
-        return F.exists(parts, lambda p: (first(p) <= day + 1) & (F.lit(day + 1) <= last(p)))
+    def parsed(rule: Column, number: Column) -> Column:
+        parts = F.split(F.trim(rule), rf"(?<=[0-9])\s*,\s*(?={_DAY})")
+        return F.transform(parts, lambda p: F.struct(number.alias("rule"), F.regexp_replace(F.regexp_extract(p, _DAY_PART, 0), " ", "").alias("days"), F.regexp_replace(F.regexp_replace(p, _DAY_PART, ""), r"\s", "").alias("hours")))
+
+    numbered = F.transform(F.split(text, ";"), lambda r, i: F.struct(r.alias("r"), i.alias("i")))
+    parts = F.flatten(F.transform(F.filter(numbered, lambda x: F.trim(x["r"]) != ""), lambda x: parsed(x["r"], x["i"])))
+
+    def covers(part: Column, day: int) -> Column:
+        first = lambda s: F.array_position(order, F.split(s, "-")[0])
+        last = lambda s: F.array_position(order, F.element_at(F.split(s, "-"), -1))
+        at = F.lit(day + 1)
+        inside = lambda s: (first(s) > 0) & (last(s) > 0) & F.when(first(s) <= last(s), (first(s) <= at) & (at <= last(s))).otherwise((first(s) <= at) | (at <= last(s)))
+        return (part["days"] == "") | F.exists(F.split(part["days"], ","), inside)
+
+    def spans(day: int) -> Column:
+        named = F.filter(parts, lambda p: covers(p, day))
+        latest = F.array_max(F.transform(named, lambda p: p["rule"]))
+        times = F.flatten(F.transform(F.filter(named, lambda p: p["rule"] == latest), lambda p: F.split(p["hours"], ",")))
+        good = F.filter(times, lambda s: s.rlike("^[0-9]{1,2}:[0-9]{2}-[0-9]{1,2}:[0-9]{2}$"))
+        return F.transform(good, lambda s: F.struct(minutes(F.split(s, "-")[0]).alias("open"), minutes(F.split(s, "-")[1]).alias("close")))
+
+    midnight = 24 * 60
+    of = [spans(i) for i in range(7)]
 
-    def hours(rule: Column) -> Column:
-        spans = F.filter(F.split(F.coalesce(F.get(F.split(rule, " "), F.lit(1)), F.lit("")), ","), lambda s: s.rlike("^[0-9]+:[0-9]+-[0-9]+:[0-9]+$"))
-        return F.transform(spans, lambda s: F.struct(minutes(F.split(s, "-")[0]).alias("open"), minutes(F.split(s, "-")[1]).alias("close")))
+    def day(i: int) -> Column:
+        own = F.transform(of[i], lambda s: F.struct(s["open"].alias("open"), F.when(s["close"] <= s["open"], F.lit(midnight)).otherwise(s["close"]).alias("close")))
+        over = F.transform(F.filter(of[i - 1], lambda s: (s["close"] <= s["open"]) & (s["close"] > 0)), lambda s: F.struct(F.lit(0).alias("open"), s["close"].alias("close")))
+        return F.struct(F.lit(DAYS[i]).alias("day"), merge_intervals(F.concat(own, over)).alias("intervals"))
 
-    day = lambda i: F.struct(F.lit(DAYS[i]).alias("day"), merge_intervals(F.flatten(F.transform(F.filter(rules, lambda r: covers(r, i)), hours))).alias("intervals"))
     return F.when(F.trim(F.coalesce(c, F.lit(""))) != "", F.array(*[day(i) for i in range(7)]))
 
 
