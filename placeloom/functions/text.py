@@ -22,6 +22,11 @@ EMPTY = "__empty__"
 NOT_DISCLOSED = "[ND]"
 
 
+def let(value: Column, body) -> Column:
+    """``body`` of a value that is computed once, however often ``body`` uses it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def text_of(c: Column | str) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
@@ -190,9 +195,19 @@ def clean_code_list(c: Column) -> Column:
     return F.filter(F.transform(F.split(nonnull(c), r"\|"), lambda x: F.lower(F.trim(x))), lambda x: x != "")
 
 
+def _without_cedex(c: Column) -> Column:
+    """An address without the words CEDEX and the numbers right after them."""
+    ws = F.split(F.trim(nonnull(c)), " ")
+    bare = lambda w: F.upper(F.btrim(w, F.lit(",-")))
+    is_mark = lambda w: F.rtrim(F.translate(bare(w), "0123456789", " " * 10)) == "CEDEX"
+    is_number = lambda w: (bare(w) != "") & (F.translate(bare(w), "0123456789", "") == "")
+    kept = F.filter(ws, lambda w, i: ~is_mark(w) & ~((i > 0) & is_number(w) & (bare(F.get(ws, i - 1)) == "CEDEX")))
+    return F.trim(F.array_join(kept, " "))
+
+
 def parse_address(c: Column) -> Column:
     """struct(address, postcode, city) of a one-line address: CEDEX removed, the last 4 or 5 digit number is the postcode."""
-    a = F.trim(F.regexp_replace(nonnull(c), r"(?i)\bCEDEX\s*\d*\b", ""))
+    a = _without_cedex(c)
     full, bare = r"^(.*)[\s,\-]+(\d{4,5})[\s,\-]*(.*)$", r"(\d{4,5})[\s,\-]*(.*)$"
     trimmed = lambda x: F.regexp_replace(x, r"^[\s,\-]+|[\s,\-]+$", "")
     whole = a.rlike(full)
@@ -239,43 +254,76 @@ def service_place(c: Column, home_only: str, both: str) -> Column:
     return F.when(t.rlike(home_only), "A_DOMICILE").when(t.rlike(both), "SUR_PLACE_OU_A_DOMICILE").otherwise("SUR_PLACE")
 
 
+# Names of areas without their spaces, and the areas that they stand for.
+AREA_NAMES = {
+    "FRANCEMETROPOLITAINE": ("FRANCE_METROPOLITAINE",),
+    "DROMTOM": ("DROM_TOM",),
+    "FRANCEMETROPOLITAINEYCOMPRISDROMTOM": ("DROM_TOM", "FRANCE_METROPOLITAINE"),
+}
+CORSICA = ("2A", "2B")
+KILOMETRES = "KM"
+
+
 def service_areas(c: Column) -> Column:
-    """array<struct<type, value>> of a ``|`` list: kilometres, department, mainland, overseas; sorted, unknown ones dropped."""
+    """array<struct<type, value>> of a ``|`` list: kilometres, department, mainland, overseas; sorted, unknown ones dropped.
+
+    Each entry is cut into its leading number and the rest without spaces, and these two tell its class."""
     area = lambda kind, value: F.struct(F.lit(kind).alias("type"), value.alias("value"))
+    named = F.create_map(*[x for name, kinds in AREA_NAMES.items() for x in (F.lit(name), F.array(*[area(k, F.lit("")) for k in kinds]))])
 
-    def one(p: Column) -> Column:
-        t = F.trim(F.upper(unaccent(p)))
-        km, dept = F.regexp_extract(t, r"^(\d+)\s*KM", 1), F.regexp_extract(t, r"^(\d{1,3}|2A|2B)$", 1)
-        mainland, overseas = t.rlike(r"^FRANCE\s*METROPOLITAINE$"), t.rlike(r"^DROM\s*TOM$")
-        every = t.rlike(r"^FRANCE\s*METROPOLITAINE\s*Y\s*COMPRIS\s*DROM\s*TOM$")
-        none = F.lit("")
+    def one(entry: Column) -> Column:
+        t = F.trim(F.upper(unaccent(entry)))
+        number = F.regexp_extract(t, "^[0-9]+", 0)
+        rest = F.regexp_replace(F.substring(t, F.length(number) + 1, F.length(t)), r"\s", "")
         return (
-            F.when(km != "", F.array(area("KILOMETRIQUE", km.try_cast("long").cast("string"))))
-            .when(dept != "", F.array(area("DEPARTEMENTAL", F.when(F.length(dept) == 1, F.concat(F.lit("0"), dept)).otherwise(dept))))
-            .when(mainland, F.array(area("FRANCE_METROPOLITAINE", none)))
-            .when(overseas, F.array(area("DROM_TOM", none)))
-            .when(every, F.array(area("DROM_TOM", none), area("FRANCE_METROPOLITAINE", none)))
+            F.when((number != "") & F.startswith(rest, F.lit(KILOMETRES)), F.array(area("KILOMETRIQUE", number.try_cast("long").cast("string"))))
+            .when((number != "") & (rest == "") & (F.length(number) <= 3), F.array(area("DEPARTEMENTAL", F.lpad(number, F.greatest(F.length(number), F.lit(2)), "0"))))
+            .when(t.isin(*CORSICA), F.array(area("DEPARTEMENTAL", t)))
+            .when(number == "", named[rest])
         )
 
     return F.array_sort(F.flatten(F.filter(F.transform(F.split(nonnull(c), r"\|"), one), lambda x: x.isNotNull())))
 
 
 def repair_url(c: Column) -> Column:
-    """Fixes noise before the scheme, doubled schemes and signs, the ``www`` prefix, doubled dots and a trailing ``/en``."""
-    u = F.trim(nonnull(c))
-    u = F.when(u.rlike("^http"), u).otherwise(F.regexp_replace(u, ".*http", "http"))
-    u = F.regexp_replace(u, "https?(?:://)?http", "http")
-    u = F.when(u.rlike("^http"), u).when(u.rlike("^/"), F.concat(F.lit("https:"), u)).otherwise(F.concat(F.lit("https://"), u))
-    for pattern, by in (("::+", ":"), ("///+", "//"), ("(https?)(/)", "$1:$2"), ("(https?:)/?([^/])", "$1//$2"), (r"^(https?://)(?:wwww+\.?|ww\.?)([^w])", "$1www.$2"), (r"\.{2,}", "."), ("/en/?$", "/")):
-        u = F.regexp_replace(u, pattern, by)
-    return u
+    """Takes a url apart into scheme, host and path, mends each, and puts them together again.
+
+    Scheme: the last of the leading scheme words, or https; what stands before the first one is noise. Host: signs that
+    were doubled, and a ``www`` label of two, or of four and more letters, with or without its dot. Path: doubled signs, and a
+    last segment that only asks for English."""
+    http, dot = F.lit("http"), F.lit(".")
+    after = lambda x, part: F.substring(x, F.length(part) + 1, F.length(x))
+
+    def mended_host(host: Column) -> Column:
+        single = lambda x, sign: F.array_join(F.filter(F.split(x, f"[{sign}]"), lambda part, i: (part != "") | (i == 0)), sign)
+        plain = F.when(F.contains(host, F.lit("..")) | F.contains(host, F.lit("::")), single(single(host, "."), ":")).otherwise(host)
+        wrong = lambda ws, rest: ((F.length(ws) == 2) | (F.length(ws) >= 4)) & (rest != "")
+        return let(plain, lambda h: let(F.regexp_extract(h, "^w*", 0), lambda ws: let(F.ltrim(after(h, ws), dot), lambda rest: F.when(wrong(ws, rest), F.concat(F.lit("www."), rest)).otherwise(h))))
+
+    def mended_path(path: Column) -> Column:
+        def without(doubled: str, sign: str):
+            a, b = F.lit(doubled), F.lit(sign)
+            return lambda p: F.when(F.contains(p, a), F.replace(F.replace(p, a, b), a, b)).otherwise(p)
+
+        for doubled, sign in (("::", ":"), ("///", "//"), ("..", ".")):
+            path = let(path, without(doubled, sign))
+        bare = lambda p: F.rtrim(p, F.lit("/"))
+        return let(path, lambda p: F.when(F.endswith(bare(p), F.lit("/en")) & ~F.endswith(p, F.lit("//")), F.substring(p, F.lit(1), F.length(bare(p)) - 2)).otherwise(p))
+
+    def joined(u: Column, head: Column) -> Column:
+        plain = (head != "") & ~F.endswith(F.rtrim(F.translate(head, ":/", "  ")), F.lit("https"))
+        scheme = F.when(plain, F.lit("http://")).otherwise(F.lit("https://"))
+        rest = F.ltrim(after(u, head), F.lit("/"))
+        return F.concat(scheme, let(rest, lambda r: let(F.regexp_extract(r, "^[^/?#]*", 0), lambda host: F.concat(mended_host(host), mended_path(after(r, host))))))
+
+    quiet = let(F.trim(nonnull(c)), lambda u: F.when(~F.startswith(u, http) & F.contains(u, http), F.concat(http, F.substring_index(u, "http", -1))).otherwise(u))
+    return let(quiet, lambda u: let(F.regexp_extract(u, "^(?:https?(?=http|[:/])[:/]*)*", 0), lambda head: joined(u, head)))
 
 
 def urls_to_try(c: Column) -> Column:
     """Valid candidates of a url, https first; null if there is nothing to try."""
-    u = repair_url(c)
-    secure = F.when(F.startswith(u, F.lit("http://")), F.replace(u, F.lit("http://"), F.lit("https://")))
-    both = F.filter(F.array_distinct(F.array(secure, F.when(F.startswith(u, F.lit("https://")), u), u)), lambda x: x.isNotNull() & url_is_valid(x))
+    secure = lambda u: F.when(F.startswith(u, F.lit("http://")), F.concat(F.lit("https"), F.substring(u, 5, 1 << 20)))
+    both = let(repair_url(c), lambda u: F.filter(F.array(secure(u), u), lambda x: x.isNotNull() & url_is_valid(x)))
     return F.when((F.trim(nonnull(c)) != "") & F.contains(c, F.lit(".")), both)
 
 
@@ -290,13 +338,20 @@ def urls_standard_difference(a: Column, b: Column) -> Column:
     return F.coalesce((F.trim(a) != "") & (F.trim(b) != "") & (bare(a) == bare(b)), F.lit(False))
 
 
+# Words and phrases of names that have a spelling of their own.
+NAME_WORDS = {"SA": "SA", "SAS": "SAS", "SARL": "SARL", "ETS": "Éts"}
+NAME_PHRASES = {"Boîte À Lire": "Boîte à lire", "D Or": "D'Or"}
+VOWELS = "aeiou"
+
+
 def format_name(c: Column) -> Column:
-    """Title case with legal forms (SA, SAS, SARL, Éts) and vowelless words in capitals."""
-    t = F.initcap(F.trim(nonnull(c)))
-    upper = lambda w: F.when((F.length(w) >= 3) & w.rlike("^[^aeiouAEIOU]+$"), F.upper(w)).otherwise(w)
-    legal = lambda w: F.when(F.upper(w).isin("SA", "SAS", "SARL"), F.upper(w)).when(F.upper(w) == "ETS", F.lit("Éts")).otherwise(upper(w))
-    t = F.array_join(F.transform(F.split(t, " "), legal), " ")
-    return F.replace(F.replace(t, F.lit("Boîte À Lire"), F.lit("Boîte à lire")), F.lit("D Or"), F.lit("D'Or"))
+    """Title case, with legal forms and phrases in their own spelling and words without vowels in capitals."""
+    special = F.create_map(*[F.lit(x) for pair in NAME_WORDS.items() for x in pair])
+    plain = lambda w: F.when((F.length(w) > 2) & (F.translate(F.lower(w), VOWELS, "") == F.lower(w)), F.upper(w)).otherwise(w)
+    out = F.array_join(F.transform(F.split(F.initcap(F.trim(nonnull(c))), " "), lambda w: F.coalesce(special[F.upper(w)], plain(w))), " ")
+    for phrase, spelling in NAME_PHRASES.items():
+        out = F.replace(out, F.lit(phrase), F.lit(spelling))
+    return out
 
 
 def rename_prefix(c: Column, old: str, new: str) -> Column:
