@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -48,6 +49,18 @@ def condition(df: DataFrame, check: str, target: str, failed: Column) -> DataFra
     return _row(df, check, target, F.count(F.when(failed, 1)))
 
 
+def validation(df: DataFrame, name: str, value: Column, valid: Callable[[Column], Column]) -> DataFrame:
+    """One row (name, is_valid, debug_value): an aggregate of a table, and whether ``valid`` holds for it."""
+    found = df.agg(value.alias("v"))
+    return found.select(F.lit(name).alias("name"), F.coalesce(valid(F.col("v")), F.lit(False)).alias("is_valid"), F.col("v").cast("string").alias("debug_value"))
+
+
+def ordered(changes: DataFrame, cluster: str, order: str) -> DataFrame:
+    """Clusters whose changes don't begin with exactly one of order 1, the parent's, before all others."""
+    wrong = changes.groupBy(cluster).agg(F.min(order).alias("__pl_l"), F.count_if(F.col(order) <= 1).alias("__pl_n")).filter("__pl_l <> 1 OR __pl_n <> 1")
+    return _row(wrong, "monotone_order", f"clusters.{order}", F.count(F.lit(1)))
+
+
 def cluster_invariants(clusters: DataFrame, key: str, cluster: str = "cluster_id") -> DataFrame:
     """An entity is in one cluster, once; a cluster has two members at least."""
     once = unique(clusters, "clusters", [key])
