@@ -13,11 +13,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from placeloom.functions import nested, text
+from placeloom.functions import nested, numbers, text
 
 Transform = Callable[..., Column]
 
-#: Named transforms that rules may call; those in CHECKED return struct(value, level, message).
+#: Named transforms that rules may call, with the rule's ``options`` by name; those in CHECKED return struct(value, level, message).
 PLAIN: dict[str, Transform] = {
     "strip": text.strip_string,
     "strip_lower": text.strip_lower_string,
@@ -28,6 +28,23 @@ PLAIN: dict[str, Transform] = {
     "service_areas": text.service_areas,
     "hour_signs": nested.fix_hour_signs,
     "opening_hours": nested.opening_hours,
+    "hours_text": lambda c: nested.opening_hours_french(nested.opening_hours(c)),
+    "codes": lambda c, mapping: nested.map_codes(text.clean_code_list(c), mapping),
+    "merged_codes": lambda *cols: F.array_sort(F.array_distinct(F.flatten(F.array(*[F.coalesce(c, F.array().cast("array<string>")) for c in cols])))),
+    "flags": lambda *cols, names: nested.codes_of_flags(dict(zip(names, [c.try_cast("boolean") for c in cols], strict=True))),
+    "labels": lambda c, bonus, ignored=(): nested.label_codes(c, F.coalesce(bonus.try_cast("boolean"), F.lit(False)), tuple(ignored)),
+    "services": nested.services,
+    "service_place": text.service_place,
+    "entity_id": text.entity_id,
+    "address": text.parse_address,
+    "house_number": text.house_number,
+    "department": text.department_code,
+    "combine": text.combine,
+    "format_name": text.format_name,
+    "repair_url": text.repair_url,
+    "geopoint": numbers.point,
+    "location": lambda lon, lat: F.struct(numbers.parse_float(lat).alias("lat"), numbers.parse_float(lon).alias("lon")),
+    "float": numbers.parse_float,
 }
 CHECKED: dict[str, Transform] = {
     "siren": text.clean_siren,
@@ -38,6 +55,7 @@ CHECKED: dict[str, Transform] = {
     "url": text.clean_url,
     "first_url": text.first_valid_url,
     "boolean": text.to_boolean,
+    "label": text.map_label,
 }
 
 
@@ -72,12 +90,12 @@ def normalize(df: DataFrame, rules: list[dict], key: str) -> tuple[DataFrame, Da
                 df = df.drop(r["origin"])
             else:
                 origins = [F.col(c) for c in (r["origins"] if kind == "row" else [r["origin"]])]
-                name, to = r["function"], r["destination"]
+                name, to, options = r["function"], r["destination"], r.get("options", {})
                 if name in PLAIN:
-                    df = df.withColumn(to, PLAIN[name](*origins))
+                    df = df.withColumn(to, PLAIN[name](*origins, **options))
                 else:
                     level = r.get("level", "warning")
-                    df = df.withColumn("__pl_r", CHECKED[name](*origins))
+                    df = df.withColumn("__pl_r", CHECKED[name](*origins, **options))
                     entry = F.struct(F.lit(to).alias("field"), F.lit(level).alias("level"), F.col("__pl_r.message").alias("message"))
                     df = df.withColumn("__pl_log", F.when(F.col("__pl_r.level").isNotNull(), F.concat("__pl_log", F.array(entry))).otherwise(F.col("__pl_log"))).withColumn(to, F.col("__pl_r.value")).drop("__pl_r")
     kept = [r["origin"] for r in rules if r["rule"] == "keep"] + [r["destination"] for r in rules if "destination" in r]
