@@ -5,12 +5,28 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from placeloom.functions import numbers
+from placeloom.functions import ids, numbers
 from placeloom.operators import cdc, cluster, fuzzy, geo, graph, normalize, quality, search
 from placeloom.operators import relational as rel
 from placeloom.plans.registry import Tables, query
 
-_LINKS = "SELECT c_custkey AS pred, CASE WHEN c_custkey % 9 = 0 THEN c_custkey + 5 ELSE c_custkey + 3 END AS succ, DATE '2024-01-01' + (c_custkey % 300)::INTEGER AS link_date, c_custkey % 2 = 0 AS transfer, c_custkey % 7 <> 0 AS continuity FROM customer WHERE c_custkey % 5 < 3 AND c_custkey < 400"
+def duck_uuid5(name: str) -> str:
+    """SQL of another engine for the UUID v5 of a text, from its definition."""
+    h = f"sha1(unhex('{ids.DNS_NAMESPACE}') || encode({name}))"
+    return f"substr({h}, 1, 8) || '-' || substr({h}, 9, 4) || '-5' || substr({h}, 14, 3) || '-' || substr('89ab89ab89ab89ab', instr('0123456789abcdef', substr({h}, 17, 1)), 1) || substr({h}, 18, 3) || '-' || substr({h}, 21, 12)"
+
+
+def duck_base57(uuid: str) -> str:
+    """SQL for the 22 base57 digits of a UUID."""
+    n = f"('0x' || replace({uuid}, '-', ''))::UHUGEINT"
+    return " || ".join(f"substr('{ids.BASE57}', (({n} // {57**k}::UHUGEINT) % 57::UHUGEINT)::INTEGER + 1, 1)" for k in range(21, -1, -1))
+
+
+def duck_valid_url(url: str) -> str:
+    return rf"regexp_matches({url}, '^https?://([a-zA-Z0-9_-]+\.)+[a-zA-Z]{{2,}}(/[^\s]*)?$')"
+
+
+_LINKS = "SELECT c_custkey AS pred, CASE WHEN c_custkey % 9 = 0 THEN c_custkey + 5 ELSE c_custkey + 3 END AS succ, DATE '2024-01-01' + (c_custkey % 300)::INTEGER AS link_date, c_custkey % 2 = 0 AS transfer, c_custkey % 7 <> 0 AS continuity FROM customer WHERE c_custkey % 5 < 3"
 
 
 @query("recursive_succession", f"""
@@ -19,13 +35,13 @@ p AS (SELECT *, 1 AS depth, [pred, succ] AS seen FROM l UNION ALL SELECT p.pred,
 SELECT pred, succ, strftime(min(link_date), '%Y-%m-%d') AS link_date, bool_or(transfer) AS transfer, bool_or(continuity) AS continuity, max(depth) AS depth FROM p WHERE succ NOT IN (SELECT pred FROM l) GROUP BY pred, succ""")
 def _(t: Tables) -> DataFrame:
     k = F.col("c_custkey")
-    # The remainder shapes the chains: keys with a greater one are their ends. The SQL has an id range besides, so it covers the first keys only.
+    # The remainder shapes the chains: keys with a greater one are their ends.
     links = t.customer.filter(k % 5 < 3).select(k.alias("pred"), F.when(k % 9 == 0, k + 5).otherwise(k + 3).alias("succ"), F.expr("date_add(DATE '2024-01-01', CAST(c_custkey % 300 AS INT))").alias("link_date"), (k % 2 == 0).alias("transfer"), (k % 7 != 0).alias("continuity"))
     return graph.succession_closure(t.spark, links).withColumn("link_date", F.date_format("link_date", "yyyy-MM-dd"))
 
 
 @query("connected_components", """
-WITH RECURSIVE e AS (SELECT DISTINCT l_partkey AS u, 1000000 + l_suppkey * 50 + l_partkey % 50 AS v FROM lineitem WHERE l_quantity > 45),
+WITH RECURSIVE e AS (SELECT DISTINCT l_partkey AS u, 1000000 + l_suppkey * 50 + l_partkey % 50 AS v FROM lineitem),
 b AS (SELECT u, v FROM e UNION SELECT v, u FROM e), r AS (SELECT u AS node, u AS root FROM b UNION SELECT b.v, r.root FROM r JOIN b ON b.u = r.node WHERE r.root < b.v)
 SELECT node, min(root) AS component FROM r GROUP BY node""")
 def _(t: Tables) -> DataFrame:
@@ -34,7 +50,7 @@ def _(t: Tables) -> DataFrame:
 
 
 _HAV = "2 * 6371000.0 * asin(least(1.0, sqrt(power(sin(radians({2} - {0}) / 2), 2) + cos(radians({0})) * cos(radians({2})) * power(sin(radians({3} - {1}) / 2), 2))))"
-_PROBES = "SELECT s_suppkey AS probe, 44.0 + (s_suppkey * 37 % 100) / 20.0 AS lat, 0.0 + (s_suppkey * 53 % 100) / 20.0 AS lon FROM supplier WHERE s_suppkey < 40"
+_PROBES = "SELECT s_suppkey AS probe, 44.0 + (s_suppkey * 37 % 100) / 20.0 AS lat, 0.0 + (s_suppkey * 53 % 100) / 20.0 AS lon FROM supplier"
 _POINTS = "SELECT c_custkey AS point, 44.0 + (c_custkey * 7919 % 1000) / 200.0 AS lat, 0.0 + (c_custkey * 104729 % 1000) / 200.0 AS lon, c_mktsegment AS action FROM customer"
 
 
@@ -72,7 +88,7 @@ def _(t: Tables) -> DataFrame:
     return _points(t).filter(numbers.in_polygon(F.col("lat"), F.col("lon"), ring)).select("point")
 
 
-@query("stacked_members", "SELECT l_orderkey, l_linenumber, n FROM (SELECT *, count(*) OVER (PARTITION BY round(l_extendedprice::DECIMAL(38,10), 0), l_tax::DECIMAL(38,10)) AS n FROM lineitem WHERE l_discount = 0.05) WHERE n > 1")
+@query("stacked_members", "SELECT l_orderkey, l_linenumber, n FROM (SELECT *, count(*) OVER (PARTITION BY round(l_extendedprice::DECIMAL(38,10), 0), l_tax::DECIMAL(38,10)) AS n FROM lineitem) WHERE n > 1")
 def _(t: Tables) -> DataFrame:
     rows = t.lineitem.select("l_orderkey", "l_linenumber", F.round(F.col("l_extendedprice").cast("decimal(38,10)"), 0).alias("a"), "l_tax")
     return geo.stacked(rows, ["a", "l_tax"]).select("l_orderkey", "l_linenumber", F.col("n_stacked").alias("n"))
@@ -120,7 +136,9 @@ def _(t: Tables) -> DataFrame:
     return out.select("p_partkey", F.element_at(F.split("cluster_id", "_f0_"), -1).cast("long").alias("cluster_root"))
 
 
-@query("cluster_distance_split")
+@query("cluster_distance_split", f"""
+WITH RECURSIVE q AS ({_POINTS}), e AS (SELECT a.point AS u, b.point AS v FROM q a JOIN q b ON a.action = b.action AND a.point <> b.point WHERE {_HAV.format('a.lat', 'a.lon', 'b.lat', 'b.lon')} < 1500), r AS (SELECT u AS node, u AS root FROM e UNION SELECT e.v, r.root FROM r JOIN e ON e.u = r.node WHERE r.root < e.v)
+SELECT node AS point, regexp_replace(lower(action), '[^a-z0-9]+', '-', 'g') || '_d_' || min(root) AS cluster_id FROM r JOIN q ON q.point = node GROUP BY node, action""")
 def _(t: Tables) -> DataFrame:
     pts = _points(t).withColumn("zone", F.lit("z"))
     out = cluster.distance_refine(cluster.exact_clusters(pts, ["action"]), "point", "lat", "lon", 1500.0)
@@ -134,7 +152,12 @@ def _(t: Tables) -> DataFrame:
     return cluster.one_per_source(cluster.exact_clusters(t.part, ["p_brand", "p_size"]), "p_partkey", "p_type").select("p_partkey")
 
 
-@query("cluster_intra_source_split")
+_BLOCK = "lower(replace(p_brand, '#', '-')) || '_' || p_size"
+_BLOCKED = "part WHERE (p_brand, p_size) IN (SELECT (p_brand, p_size) FROM part GROUP BY p_brand, p_size HAVING count(*) >= 2)"
+
+
+@query("cluster_intra_source_split", f"""
+WITH m AS (SELECT p_partkey, {_BLOCK} || '_' || (row_number() OVER (PARTITION BY p_brand, p_size, p_type ORDER BY p_partkey) - 1) AS cluster_id FROM {_BLOCKED}) SELECT * FROM m WHERE cluster_id IN (SELECT cluster_id FROM m GROUP BY 1 HAVING count(*) >= 2)""")
 def _(t: Tables) -> DataFrame:
     c = cluster.exact_clusters(t.part.select("p_partkey", "p_brand", "p_size", "p_type"), ["p_brand", "p_size"]).select("p_partkey", "cluster_id", F.array("p_type").alias("sources"))
     return cluster.split_intra_source(c, "p_partkey", "sources").select("p_partkey", "cluster_id")
@@ -216,7 +239,11 @@ def _(t: Tables) -> DataFrame:
     return cdc.apply_changes(t.orders.select("o_orderkey", "o_orderpriority", "o_totalprice"), one.unionAll(two), "o_orderkey", ["o_orderpriority", "o_totalprice"], "ord")
 
 
-@query("choose_parents")
+@query("choose_parents", f"""
+WITH c AS (SELECT {_BLOCK} AS cluster_id, p_partkey AS id, p_partkey % 7 = 0 AS is_parent, trunc(p_retailprice)::BIGINT % 10 AS n FROM {_BLOCKED}),
+b AS (SELECT cluster_id, string_agg(id::VARCHAR, ',' ORDER BY id::VARCHAR) AS members, (arg_min(id, -n * 1000000000 + id) FILTER (is_parent))::VARCHAR AS best FROM c GROUP BY 1), p AS (SELECT *, coalesce(best, {duck_uuid5('members')}) AS parent_id FROM b)
+SELECT cluster_id, id::VARCHAR AS id, CASE WHEN id::VARCHAR = parent_id THEN 'parent_keep' WHEN is_parent THEN 'parent_delete' ELSE 'child_point' END AS change, CASE WHEN id::VARCHAR = parent_id THEN 1 WHEN is_parent THEN 3 ELSE 2 END AS change_order, parent_id FROM c JOIN p USING (cluster_id)
+UNION ALL SELECT cluster_id, parent_id, 'parent_create', 1, parent_id FROM p WHERE best IS NULL""")
 def _(t: Tables) -> DataFrame:
     c = cluster.exact_clusters(t.part, ["p_brand", "p_size"]).select("cluster_id", F.col("p_partkey").alias("id"), (F.col("p_partkey") % 7 == 0).alias("is_parent"), (F.col("p_retailprice").cast("int") % 10).alias("n_children"))
     parents = cdc.choose_parents(c, "cluster_id", "id", "is_parent", "n_children", F.lit(True))
@@ -294,7 +321,9 @@ def _(t: Tables) -> DataFrame:
     return search.closest(geo.within_radius(_points(t), 46.5, 2.5, 90_000.0), 10, "point").select("point", F.round("distance_m", 3).alias("distance"))
 
 
-@query("location_cascade")
+@query("location_cascade", f"""
+WITH q AS ({_POINTS}), b AS (SELECT point FROM q WHERE lat BETWEEN 10 AND 11 AND lon BETWEEN 10 AND 11), r AS (SELECT point FROM q WHERE {_HAV.format('46.5', '2.5', 'lat', 'lon')} <= 30000)
+SELECT point FROM b UNION ALL SELECT point FROM r WHERE NOT EXISTS (SELECT 1 FROM b) UNION ALL SELECT point FROM q WHERE NOT EXISTS (SELECT 1 FROM b) AND NOT EXISTS (SELECT 1 FROM r)""")
 def _(t: Tables) -> DataFrame:
     p = _points(t)
     box = p.filter(numbers.in_box(F.col("lat"), F.col("lon"), 10.0, 10.0, 11.0, 11.0)).select("point")
@@ -307,7 +336,13 @@ def _(t: Tables) -> DataFrame:
     return search.rank_terms(terms, "red wid", "title", "body", "norm").select("id", F.round("score", 6).alias("score"))
 
 
-@query("edit_ratio")
+_CODES = "[114, 101, 100, 32, 119, 105, 100, 103, 101, 116]"  # red widget
+
+
+@query("edit_ratio", f"""
+WITH d AS (SELECT p_partkey, p_name, list_transform(string_split(p_name, ''), lambda c: [unicode(c)::BIGINT]) AS cs FROM part),
+l AS (SELECT p_partkey, p_name, list_reduce(cs, lambda acc, e: list_transform(range(0, 11), lambda j: list_max(list_append(list_transform(list_filter(range(1, j + 1), lambda i: ({_CODES})[i] = e[1]), lambda i: acc[i] + 1), acc[j + 1]))), [0, 0, 0, 0, 0, 0, 0, 0, 0, 0, 0]::BIGINT[])[11] AS lcs FROM d)
+SELECT p_partkey, round(200.0::DOUBLE * lcs / (10 + length(p_name)), 4) AS ratio FROM l WHERE round(200.0::DOUBLE * lcs / (10 + length(p_name)), 4) >= 50""")
 def _(t: Tables) -> DataFrame:
     return t.part.select("p_partkey", F.round(fuzzy.indel_ratio(F.col("p_name"), F.lit("red widget")), 4).alias("ratio")).filter("ratio >= 50")
 

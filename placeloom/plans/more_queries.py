@@ -21,7 +21,7 @@ def _(t: Tables) -> DataFrame:
     return fuzzy.autocomplete(t.part.select("p_name").distinct(), "rin", "p_name").select("p_name", F.round("distance", 6).alias("distance"))
 
 
-@query("agreeing_labels")
+@query("agreeing_labels", "SELECT p_partkey, round(200.0::DOUBLE * length(p_name) / (2 * length(p_name) + 1), 4) AS ratio FROM part WHERE 200.0 * length(p_name) >= 80 * (2 * length(p_name) + 1)")
 def _(t: Tables) -> DataFrame:
     rows = t.part.select("p_partkey", "p_name", F.concat("p_name", F.lit("s")).alias("other"))
     return fuzzy.agreeing_labels(rows, "p_name", "other").select("p_partkey", F.round("ratio", 4).alias("ratio"))
@@ -88,6 +88,6 @@ def _(t: Tables) -> DataFrame:
     return cluster.pair_features(pairs, "x", "y", ["p_name"]).filter("sim_p_name = 1.0").select(F.col("x.p_partkey").alias("a"), F.col("y.p_partkey").alias("b")).filter(F.col("a") != F.col("b"))
 
 
-@query("similarity_scores", "SELECT l_orderkey, l_linenumber, CASE WHEN l_discount * 11 >= 1 THEN 1.0 WHEN l_discount <= 0 THEN 0.0 ELSE round(l_discount * 11, 5) END AS score FROM lineitem WHERE l_quantity > 45")
+@query("similarity_scores", "SELECT l_orderkey, l_linenumber, CASE WHEN l_discount * 11 >= 1 THEN 1.0 WHEN l_discount <= 0 THEN 0.0 ELSE round(l_discount * 11, 5) END AS score FROM lineitem")
 def _(t: Tables) -> DataFrame:
     return t.lineitem.select("l_orderkey", "l_linenumber", numbers.similarity_score(F.col("l_discount") * 11).alias("score"))

@@ -2,16 +2,18 @@
 
 from __future__ import annotations
 
-import tempfile
+import re
+import uuid
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from placeloom.operators import cdc
 from placeloom.operators import relational as rel
+from placeloom.operators.staging import shared_dir
 from placeloom.plans import actors as marts
 from placeloom.plans import enrichment, ingestion
-from placeloom.plans.entity_queries import _HAV, _POINTS, _PROBES, _points, _probes
+from placeloom.plans.entity_queries import _HAV, _POINTS, _PROBES, _TRI, _TFIDF, _points, _probes, duck_base57, duck_uuid5, duck_valid_url
 from placeloom.plans.registry import Tables, query
 from placeloom.sources import readers, writers
 from placeloom.streaming import kpis
@@ -20,7 +22,8 @@ _ACTORS = """
 a AS (SELECT c_custkey AS k, 'a' || c_custkey AS identifiant_unique, CASE WHEN c_custkey % 10 <> 0 AND c_custkey % 4 = 0 THEN 'a' || (c_custkey - c_custkey % 10) END AS parent_id, CASE WHEN c_acctbal > 0 THEN 'ACTIF' ELSE 'INACTIF' END AS statut,
   CASE WHEN c_custkey % 13 = 0 THEN 'Aucun' WHEN c_custkey % 13 = 1 THEN 'Particuliers' END AS public_accueilli, CASE WHEN c_custkey % 17 = 0 THEN '__empty__' ELSE c_name END AS nom, lpad((c_nationkey * 1000 + 75)::VARCHAR, 5, '0') AS code_postal,
   CASE WHEN c_custkey % 6 = 0 THEN '' ELSE lpad((c_custkey % 90)::VARCHAR, 9, '1') END AS siren, CASE WHEN c_custkey % 3 = 0 THEN '' ELSE lpad((c_custkey % 90)::VARCHAR, 9, '1') || lpad((c_custkey % 40)::VARCHAR, 5, '0') END AS siret FROM customer),
-sites AS (SELECT DISTINCT lpad((p_partkey % 90)::VARCHAR, 9, '1') || lpad((p_partkey % 40)::VARCHAR, 5, '0') AS siret, p_partkey % 7 < 3 AS est_actif, p_type AS naf, lpad((p_size % 25 * 1000 + 75)::VARCHAR, 5, '0') AS code_postal, (p_size % 4)::VARCHAR AS numero, p_brand AS adresse_norm, p_name AS nom FROM part WHERE p_partkey < 150),
+g AS (SELECT * REPLACE (CASE WHEN k % 6 = 1 THEN '' ELSE (100000000 + k - k % 3)::VARCHAR END AS siren, CASE WHEN k % 3 = 0 THEN '' ELSE (100000000 + k - k % 3)::VARCHAR || lpad((k % 3)::VARCHAR, 5, '0') END AS siret) FROM a),
+sites AS (SELECT DISTINCT (100000000 + p_partkey - p_partkey % 3)::VARCHAR || lpad((p_partkey % 3)::VARCHAR, 5, '0') AS siret, p_partkey % 7 < 3 AS est_actif, p_type AS naf, lpad((p_size % 25 * 1000 + 75)::VARCHAR, 5, '0') AS code_postal, (p_size % 4)::VARCHAR AS numero, p_brand AS adresse_norm, p_name AS nom FROM part),
 s AS (SELECT 'a' || o_custkey AS acteur_id, o_orderpriority AS action FROM orders WHERE o_custkey % 9 <> 0)"""
 
 
@@ -50,7 +53,7 @@ def _siret(k: Column) -> Column:
 
 
 def _sites(t: Tables) -> DataFrame:
-    """The register: every part is a site, whose identifier holds the whole key. The SQL has the first parts only, and remainders of their keys."""
+    """The register: every part is a site, whose identifier holds the whole key."""
     k, size = F.col("p_partkey"), F.col("p_size")
     return t.part.select(_siret(k).alias("siret"), (k % 7 < 3).alias("est_actif"), F.col("p_type").alias("naf"), F.lpad((size % 25 * 1000 + 75).cast("string"), 5, "0").alias("code_postal"), (size % 4).cast("string").alias("numero"), F.col("p_brand").alias("adresse_norm"), F.col("p_name").alias("nom")).distinct()
 
@@ -91,7 +94,10 @@ def _(t: Tables) -> DataFrame:
     return out.select("identifiant_unique", "est_dans_carte", "est_dans_opendata", "nombre_enfants", F.array_join("enfants", ",").alias("enfants"))
 
 
-@query("open_data_export")
+@query("open_data_export", f"""
+WITH {_ACTORS}, sv AS (SELECT acteur_id, '[' || string_agg('{{"action":"' || action || '","categories":["' || lower(action) || '"]}}', ',' ORDER BY action) || ']' AS services, string_agg(lower(action), '|' ORDER BY lower(action)) AS labels FROM (SELECT DISTINCT acteur_id, action FROM s) GROUP BY 1)
+SELECT identifiant_unique, nom, CASE WHEN k % 4 <> 0 AND k % 9 + 1 NOT IN (6, 7) THEN '0' || (k % 9 + 1) || '12345678' END AS telephone, CASE WHEN k % 5 <> 0 THEN '1 rue' END AS adresse, code_postal, 'Lyon' AS ville, 's' || (k % 4) AS source_code, labels, services
+FROM a LEFT JOIN sv ON acteur_id = identifiant_unique WHERE k % 4 < 2""")
 def _(t: Tables) -> DataFrame:
     k = F.regexp_extract("identifiant_unique", r"\d+", 0).cast("long")
     actors = _actors(t).withColumns({"source_id": k % 4, "telephone": F.concat(F.lit("0"), (k % 9 + 1).cast("string"), F.lit("12345678")), "lieu_prestation": F.when(k % 5 == 0, "A_DOMICILE"), "adresse": F.lit("1 rue"), "ville": F.lit("Lyon")})
@@ -101,21 +107,27 @@ def _(t: Tables) -> DataFrame:
     return marts.open_data(actors, services, labels, sources)
 
 
-@query("overlay_actors")
+@query("overlay_actors", f"""
+WITH {_ACTORS}, u AS (SELECT *, {duck_uuid5('identifiant_unique')} AS uuid FROM a)
+SELECT identifiant_unique, nom, CASE WHEN siren <> '' THEN 'REVISED' ELSE statut END AS statut, CASE WHEN siren <> '' THEN 'a0' END AS parent_id, uuid, {duck_base57('uuid')} AS short_id, siren <> '' AS revision_exists FROM u""")
 def _(t: Tables) -> DataFrame:
     a = _actors(t)
     revision = a.filter("siren <> ''").select("identifiant_unique", F.lit("").alias("nom"), F.lit("REVISED").alias("statut"), F.lit("a0").alias("parent_id"))
     return marts.overlay(a.drop("parent_id"), revision).select("identifiant_unique", "nom", "statut", "parent_id", "uuid", "short_id", "revision_exists")
 
 
-@query("commune_match")
+@query("commune_match", f"""
+WITH {_ACTORS}, l AS (SELECT identifiant_unique, code_postal, 'NATION_' || regexp_extract(code_postal, '^0*([0-9]*)075$', 1) AS ville FROM a),
+x AS (SELECT l.*, n_nationkey AS code_commune, upper(n_name) AS nom_commune, {_TRI.format('ville')} AS g, {_TRI.format('n_name')} AS h FROM l JOIN nation ON code_postal = lpad((n_nationkey * 1000 + 75)::VARCHAR, 5, '0')),
+z AS (SELECT *, len(list_intersect(g, h))::DOUBLE / (len(g) + len(h) - len(list_intersect(g, h))) AS score FROM x)
+SELECT code_postal, identifiant_unique, code_commune, nom_commune, score FROM z WHERE score > 0.3""")
 def _(t: Tables) -> DataFrame:
     towns = t.nation.select(F.lpad((F.col("n_nationkey") * 1000 + 75).cast("string"), 5, "0").alias("code_postal"), F.col("n_nationkey").alias("code_commune"), F.upper("n_name").alias("nom_commune"))
     return marts.communes(_actors(t).withColumn("ville", F.concat(F.lit("Nâtion_"), F.regexp_extract("code_postal", "^0*([0-9]*)075$", 1))), towns)
 
 
 @query("closed_site_cohorts", f"""
-WITH {_ACTORS}, c AS (SELECT a.identifiant_unique, a.siret, left(a.siret, 9) AS siren, z.naf, z.code_postal, z.numero, z.adresse_norm, z.nom AS site_nom FROM a JOIN sites z ON a.siret = z.siret WHERE a.statut = 'ACTIF' AND NOT z.est_actif),
+WITH {_ACTORS}, c AS (SELECT g.identifiant_unique, g.siret, left(g.siret, 9) AS siren, z.naf, z.code_postal, z.numero, z.adresse_norm, z.nom AS site_nom FROM g JOIN sites z ON g.siret = z.siret WHERE g.statut = 'ACTIF' AND NOT z.est_actif),
 b AS (SELECT c.identifiant_unique, z.siret AS remplacant_siret, left(z.siret, 9) = c.siren AS same, row_number() OVER (PARTITION BY c.identifiant_unique ORDER BY left(z.siret, 9) = c.siren DESC, len(list_filter(list_sort(string_split(lower(c.site_nom), ' ')), lambda w: contains(array_to_string(list_sort(string_split(lower(z.nom), ' ')), ' '), w))) DESC, z.siret) AS rn
   FROM c JOIN sites z ON z.est_actif AND c.naf = z.naf AND c.code_postal = z.code_postal AND c.numero = z.numero AND c.adresse_norm = z.adresse_norm),
 u AS (SELECT DISTINCT left(siret, 9) AS siren FROM sites WHERE est_actif)
@@ -130,26 +142,31 @@ def _(t: Tables) -> DataFrame:
 
 @query("siret_from_siren", f"""
 WITH {_ACTORS}, l AS (SELECT left(siret, 9) AS siren, siret, code_postal FROM sites WHERE est_actif), w AS (SELECT siren, max(siret) AS x FROM l GROUP BY 1 HAVING count(DISTINCT siret) = 1), z AS (SELECT siren, code_postal, max(siret) AS x FROM l GROUP BY 1, 2 HAVING count(DISTINCT siret) = 1)
-SELECT identifiant_unique, a.siren, coalesce(w.x, z.x) AS siret FROM a LEFT JOIN w ON w.siren = a.siren LEFT JOIN z ON z.siren = a.siren AND z.code_postal = a.code_postal WHERE length(a.siren) = 9 AND a.siret = '' AND coalesce(w.x, z.x) IS NOT NULL""")
+SELECT identifiant_unique, g.siren, coalesce(w.x, z.x) AS siret FROM g LEFT JOIN w ON w.siren = g.siren LEFT JOIN z ON z.siren = g.siren AND z.code_postal = g.code_postal WHERE length(g.siren) = 9 AND g.siret = '' AND coalesce(w.x, z.x) IS NOT NULL""")
 def _(t: Tables) -> DataFrame:
     return enrichment.siret_from_siren(_registered(t), _sites(t))
 
 
-@query("siren_from_siret", f"WITH {_ACTORS} SELECT identifiant_unique, siret, left(siret, 9) AS siren FROM a WHERE length(siret) = 14 AND siren = '' AND left(siret, 9) IN (SELECT left(siret, 9) FROM sites WHERE est_actif)")
+@query("siren_from_siret", f"WITH {_ACTORS} SELECT identifiant_unique, siret, left(siret, 9) AS siren FROM g WHERE length(siret) = 14 AND siren = '' AND left(siret, 9) IN (SELECT left(siret, 9) FROM sites WHERE est_actif)")
 def _(t: Tables) -> DataFrame:
     return enrichment.siren_from_siret(_registered(t), _sites(t).select(F.left("siret", F.lit(9)).alias("siren"), "est_actif"))
 
 
-@query("director_names")
+@query("director_names", f"WITH {_ACTORS} SELECT identifiant_unique, siren FROM g WHERE length(siren) = 9 AND contains(lower(nom), 'customer') AND siren IN (SELECT left(siret, 9) FROM sites)")
 def _(t: Tables) -> DataFrame:
     directors = _sites(t).select(F.left("siret", F.lit(9)).alias("siren"), F.lit("Customer").alias("dirigeant_nom"), F.lit("CUSTÔMER").alias("dirigeant_prenom")).distinct()
     actors = _registered(t).withColumns({"nom_officiel": F.lit(""), "nom_commercial": F.lit(None).cast("string")})
     return enrichment.director_names(actors, directors)
 
 
-@query("town_suggestions")
+@query("town_suggestions", f"""
+WITH {_ACTORS}, v AS (SELECT identifiant_unique, ['saint etiene', 'vieux bourg', 'saint etienne', 'paris', 'etienne'][(k % 5 + 1)::INTEGER] AS n FROM a), w AS (SELECT *, {_TRI.format('n')} AS x, {_TRI.format("'saint etienne'")} AS y FROM v)
+SELECT identifiant_unique, CASE WHEN n = 'vieux bourg' THEN 'renamed' ELSE 'typo' END AS cohort, 'Saint-Étienne' AS suggestion FROM w
+WHERE n <> 'saint etienne' AND (n = 'vieux bourg' OR len(list_intersect(x, y))::DOUBLE / (len(x) + len(y) - len(list_intersect(x, y))) > 0.6)""")
 def _(t: Tables) -> DataFrame:
-    actors = _actors(t).withColumn("ville", F.when(F.length("siren") == 9, "Saint-Étiene").otherwise("Vieux Bourg"))
+    k = F.substring("identifiant_unique", 2, 20).cast("long")
+    towns = F.array(*[F.lit(v) for v in ("Saint-Étiene", "Vieux  Bourg", "SAINT ETIENNE", "Paris", "Étienne")])
+    actors = _actors(t).withColumn("ville", F.get(towns, (k % 5).cast("int")))
     addresses = _actors(t).select("code_postal", F.lit("Saint-Étienne").alias("ville_actuelle"), F.lit("Vieux-Bourg").alias("ville_ancienne")).distinct()
     return enrichment.town_suggestions(actors, addresses, 0.6)
 
@@ -180,7 +197,10 @@ def _(t: Tables) -> DataFrame:
     return out.select("k", "side", text.alias("actions"))
 
 
-@query("ingest_pipeline")
+@query("ingest_pipeline", f"""
+WITH {_ACTORS}, f AS (SELECT *, public_accueilli IS NULL AS known FROM a), c AS (
+  SELECT identifiant_unique, known, CASE WHEN NOT known THEN '[{{"field":"identifiant_unique","kind":"NEW","new":"' || identifiant_unique || '"}}]' ELSE '[{{"field":"nom","kind":"MODIF","old":"' || upper(nom) || '","new":"' || nom || '"}}]' END AS changes FROM f)
+SELECT identifiant_unique, changes, CASE WHEN known THEN 'update' ELSE 'create' END AS action FROM c""")
 def _(t: Tables) -> DataFrame:
     feed = _actors(t).select("identifiant_unique", "nom", "siren", F.col("code_postal").alias("cp"), F.lit("ACTIF").alias("status"))
     rules = [{"rule": "row", "origins": ["siren"], "destination": "siren", "function": "siren"}, {"rule": "transform", "origin": "cp", "destination": "code_postal", "function": "postcode"}, {"rule": "keep", "origin": "nom"}, {"rule": "keep", "origin": "status"}]
@@ -189,24 +209,50 @@ def _(t: Tables) -> DataFrame:
     return out["changed"].select("identifiant_unique", F.to_json("changes").alias("changes")).join(out["actions"], "identifiant_unique")
 
 
-@query("dedup_pipeline")
+_FOUND = f"""
+src AS (SELECT p_brand || '|' || p_size AS block, p_partkey AS k, p_name AS name FROM part WHERE (p_brand, p_size) IN (SELECT (p_brand, p_size) FROM part GROUP BY p_brand, p_size HAVING count(*) >= 2)), {_TFIDF},
+e AS (SELECT a AS u, b AS v FROM s WHERE score >= 0.3 UNION ALL SELECT b, a FROM s WHERE score >= 0.3), r AS (SELECT u AS node, u AS root FROM e UNION SELECT e.v, r.root FROM r JOIN e ON e.u = r.node WHERE r.root < e.v),
+c1 AS (SELECT p.*, lower(replace(p_brand, '#', '-')) || '_' || p_size || '_f0_' || root AS cid FROM part p JOIN (SELECT node, min(root) AS root FROM r GROUP BY 1) x ON x.node = p.p_partkey),
+o1 AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY cid, p_type ORDER BY p_partkey) AS rn FROM c1) WHERE rn = 1),
+o2 AS (SELECT * FROM o1 WHERE cid IN (SELECT cid FROM o1 GROUP BY 1 HAVING count(*) >= 2))"""
+_AGAIN = _TFIDF.replace("src", "src2")
+for _name in "tfndwus":
+    _AGAIN = re.sub(rf"\b{_name} AS \(", f"{_name}2 AS (", _AGAIN)
+    _AGAIN = re.sub(rf"(FROM|JOIN) {_name}\b(?! AS)", rf"\1 {_name}2 AS {_name}", _AGAIN)
+_AGAIN = re.sub(r"(FROM|JOIN) u2 AS u ([xy])\b", r"\1 u2 \2", _AGAIN)
+
+
+@query("dedup_pipeline", f"""
+WITH RECURSIVE {_FOUND}, src2 AS (SELECT cid AS block, p_partkey AS k, p_name AS name FROM o2), {_AGAIN},
+e2 AS (SELECT a AS u, b AS v FROM s2 WHERE score >= 0.3 UNION ALL SELECT b, a FROM s2 WHERE score >= 0.3), r2 AS (SELECT u AS node, u AS root FROM e2 UNION SELECT e2.v, r2.root FROM r2 JOIN e2 ON e2.u = r2.node WHERE r2.root < e2.v),
+m AS (SELECT p_partkey AS id, cid || '_f0_' || root AS cluster_id, p_name, p_type, p_partkey % 7 = 0 AS is_parent, p_partkey % 5 AS kids FROM o2 JOIN (SELECT node, min(root) AS root FROM r2 GROUP BY 1) x ON x.node = p_partkey),
+b AS (SELECT cluster_id, string_agg(id::VARCHAR, ',' ORDER BY id::VARCHAR) AS members, (arg_min(id, -kids * 1000000000 + id) FILTER (is_parent))::VARCHAR AS best, arg_min(p_name, id) AS nom, arg_min(p_type, id) AS source FROM m GROUP BY 1),
+p AS (SELECT *, coalesce(best, {duck_uuid5('members')}) AS parent_id FROM b)
+SELECT m.cluster_id, m.id::VARCHAR AS id, CASE WHEN m.id::VARCHAR = parent_id THEN 'parent_keep' WHEN is_parent THEN 'parent_delete' ELSE 'child_point' END AS change, CASE WHEN m.id::VARCHAR = parent_id THEN 1 WHEN is_parent THEN 3 ELSE 2 END AS change_order, parent_id, nom, source FROM m JOIN p USING (cluster_id)
+UNION ALL SELECT cluster_id, parent_id, 'parent_create', 1, parent_id, nom, source FROM p WHERE best IS NULL""")
 def _(t: Tables) -> DataFrame:
     p = t.part.select(F.col("p_partkey").alias("id"), "p_brand", "p_size", F.col("p_name").alias("nom"), F.col("p_type").alias("source"), (F.col("p_partkey") % 7 == 0).alias("is_parent"), (F.col("p_partkey") % 5).alias("n_children"), F.lit("ACTIF").alias("statut"))
     out = ingestion.deduplicate(p, "id", ["p_brand", "p_size"], ["nom"], 0.3, 0.0, "source", ["nom", "source"], F.col("id"))
     return out["changes"].join(out["values"], "cluster_id")
 
 
-@query("crawl_pipeline")
+@query("crawl_pipeline", f"""
+WITH p AS (SELECT page_id, CASE WHEN page_id % 13 = 0 THEN 'nothing ' || page_id WHEN page_id % 5 = 0 THEN 'https://site' || page_id % 7 || '.example.org/' || page_id % 3 ELSE url END AS url FROM pages),
+u AS (SELECT url, string_agg(page_id::VARCHAR, ',' ORDER BY page_id::VARCHAR) AS acteurs, CASE WHEN {duck_valid_url('url')} THEN regexp_extract(url, '^https?://([^/:]+)', 1) END AS domain FROM p GROUP BY url)
+SELECT url, acteurs, CASE WHEN NOT {duck_valid_url('url')} THEN 'syntax_fail' WHEN length(url) % 5 = 0 THEN 'dns_fail' WHEN length(url) % 3 = 0 THEN 'crawl_fail' ELSE 'crawl_ok_same' END AS cohort
+FROM u WHERE domain IS NOT DISTINCT FROM NULL AND (SELECT count(*) FROM u WHERE domain IS NULL) < 10 OR domain IN (SELECT domain FROM u WHERE domain IS NOT NULL GROUP BY 1 HAVING count(*) < 10)""")
 def _(t: Tables) -> DataFrame:
-    pages = t.pages.select(F.col("page_id").cast("string").alias("identifiant_unique"), "url")
-    results = pages.select("url", (F.length("url") % 3 != 0).alias("reached"), F.col("url").alias("final_url")).distinct()
+    k = F.col("page_id")
+    url = F.when(k % 13 == 0, F.concat(F.lit("nothing "), k.cast("string"))).when(k % 5 == 0, F.concat(F.lit("https://site"), (k % 7).cast("string"), F.lit(".example.org/"), (k % 3).cast("string"))).otherwise(F.col("url"))
+    pages = t.pages.select(k.cast("string").alias("identifiant_unique"), url.alias("url"))
+    results = pages.select("url", (F.length("url") % 5 != 0).alias("dns_ok"), (F.length("url") % 3 != 0).alias("reached"), F.col("url").alias("final_url")).distinct()
     return ingestion.crawl(pages, results).select("url", F.array_join("acteurs", ",").alias("acteurs"), "cohort")
 
 
 @query("clone_register", "SELECT s_suppkey AS supp_key, s_name AS supp_name FROM supplier")
 def _(t: Tables) -> DataFrame:
-    root = t.spark.sparkContext.getConf().get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="placeloom-clone-")
-    return ingestion.clone_register(t.supplier.select("s_suppkey", "s_name"), f"{root}/clone", "supplier", "20240101", 1, {"s_suppkey": "supp_key", "s_name": "supp_name"})
+    root = f"{shared_dir(t.spark)}/clone-{uuid.uuid4().hex}"
+    return ingestion.clone_register(t.supplier.select("s_suppkey", "s_name"), root, "supplier", "20240101", 1, {"s_suppkey": "supp_key", "s_name": "supp_name"})
 
 
 @query("incremental_history", "SELECT day, n FROM (SELECT strftime(date_trunc('day', ts), '%Y-%m-%d') AS day, CASE WHEN strftime(ts, '%d') < '15' THEN count(*) ELSE -count(*) END AS n FROM events GROUP BY 1, strftime(ts, '%d'))")

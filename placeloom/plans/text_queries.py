@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from placeloom.functions import ids, nested, numbers, text
+from placeloom.plans.entity_queries import duck_base57, duck_uuid5
 from placeloom.plans.registry import Tables, query
 
 _A, _B = text.ACCENTED, text.UNACCENTED
@@ -112,9 +113,18 @@ def _(t: Tables) -> DataFrame:
     return t.pages.select("page_id", text.url_is_valid(u).alias("valid"), text.url_domain(u).alias("domain"), text.urls_standard_difference(u, other).alias("same"))
 
 
-@query("url_repair")
+#: What corrupted urls begin with, and what that is mended to.
+_HEADS = [("http:///ww.", "http://www."), ("https//", "https://"), ("noise https://wwww", "https://www."), ("httphttp://", "http://"), ("", "https://"), ("https::://wwwww.", "https://www."), ("//", "https://"), ("https:", "https://"), ("https://http://ww", "http://www.")]
+
+
+@query("url_repair", rf"""
+WITH u AS (SELECT page_id, regexp_replace(url, '^https?://', '') || CASE WHEN page_id % 4 = 0 THEN '/en' WHEN page_id % 4 = 1 THEN '/en/' ELSE '' END AS rest FROM pages),
+v AS (SELECT page_id, [{", ".join(f"'{good}'" for _, good in _HEADS)}][(page_id % {len(_HEADS)} + 1)::INTEGER] || CASE WHEN page_id % 4 < 2 THEN regexp_replace(rest, '/en/?$', '/') ELSE rest END AS r FROM u), w AS (SELECT page_id, r, replace(r, 'http://', 'https://') AS s FROM v)
+SELECT page_id, r AS repaired, CASE WHEN regexp_matches(s, '^https?://([a-zA-Z0-9_-]+\.)+[a-zA-Z]{{2,}}(/[^\s]*)?$') THEN CASE WHEN r = s THEN s ELSE s || ' ' || r END ELSE '' END AS to_try FROM w""")
 def _(t: Tables) -> DataFrame:
-    u = F.regexp_replace("url", "^https?://", F.lit("http:///ww."))
+    k = F.col("page_id")
+    head = F.get(F.array(*[F.lit(bad) for bad, _ in _HEADS]), (k % len(_HEADS)).cast("int"))
+    u = F.concat(head, F.regexp_replace("url", "^https?://", ""), F.when(k % 4 == 0, "/en").when(k % 4 == 1, "/en/").otherwise(""))
     return t.pages.select("page_id", text.repair_url(u).alias("repaired"), F.array_join(text.urls_to_try(u), " ").alias("to_try"))
 
 
@@ -152,7 +162,8 @@ def _(t: Tables) -> DataFrame:
     return t.part.select("p_partkey", m["value"].alias("code"), m["level"].isNotNull().alias("failed"))
 
 
-@query("service_areas")
+@query("service_areas", """
+SELECT s_suppkey, 'DEPARTEMENTAL:' || lpad((s_suppkey % 20)::VARCHAR, 2, '0') || ',DROM_TOM:,FRANCE_METROPOLITAINE:,KILOMETRIQUE:' || (s_suppkey % 90 + 1) AS areas, 'A_DOMICILE' AS place FROM supplier""")
 def _(t: Tables) -> DataFrame:
     v = F.concat((F.col("s_suppkey") % 90 + 1).cast("string"), F.lit(" km | "), (F.col("s_suppkey") % 20).cast("string"), F.lit("|France métropolitaine y compris DROM TOM|ailleurs"))
     areas = text.service_areas(v)
@@ -165,12 +176,13 @@ def _(t: Tables) -> DataFrame:
     return t.customer.select("c_custkey", text.rename_prefix(F.col("c_mktsegment"), "BUILD", "MAKE").alias("renamed"), text.combine(F.col("c_name"), F.lit("")).alias("combined"))
 
 
-@query("format_names")
+@query("format_names", """
+SELECT s_suppkey, 'SAS ' || upper(substr(s_name, 1, 1)) || lower(substr(s_name, 2)) || ' Éts' AS name, 'Café de la Gare' AS without, '[{"message":"' || s_name || '"}]' AS comments FROM supplier""")
 def _(t: Tables) -> DataFrame:
     return t.supplier.select("s_suppkey", text.format_name(F.concat(F.lit("sas "), F.lower("s_name"), F.lit(" ets"))).alias("name"), text.remove_substring_normalized(F.lit("Café de la Gare Lyon"), F.lit("lyon")).alias("without"), text.append_comment(F.lit(None).cast("string"), F.col("s_name")).alias("comments"))
 
 
-@query("uuid5_ids")
+@query("uuid5_ids", f"WITH u AS (SELECT c_custkey, {duck_uuid5('c_name')} AS uuid FROM customer) SELECT c_custkey, uuid, {duck_base57('uuid')} AS short_id FROM u")
 def _(t: Tables) -> DataFrame:
     return t.customer.select("c_custkey", ids.uuid5(F.col("c_name")).alias("uuid")).withColumn("short_id", ids.base57(F.col("uuid")))
 
@@ -182,7 +194,7 @@ def _(t: Tables) -> DataFrame:
 
 
 @query("rounding_and_floats", """
-SELECT l_orderkey, l_linenumber, round(l_extendedprice::DECIMAL(30, 10), 1)::DOUBLE AS rounded, replace(regexp_replace(v, ',$', ''), ',', '.')::DOUBLE AS parsed FROM (SELECT *, l_linenumber || ',5,' AS v FROM lineitem) WHERE l_quantity > 48""")
+SELECT l_orderkey, l_linenumber, round(l_extendedprice::DECIMAL(30, 10), 1)::DOUBLE AS rounded, replace(regexp_replace(v, ',$', ''), ',', '.')::DOUBLE AS parsed FROM (SELECT *, l_linenumber || ',5,' AS v FROM lineitem)""")
 def _(t: Tables) -> DataFrame:
     v = F.concat(F.col("l_linenumber").cast("string"), F.lit(",5,"))
     return t.lineitem.select("l_orderkey", "l_linenumber", numbers.round_half_up(F.col("l_extendedprice"), 1).cast("double").alias("rounded"), numbers.parse_float(v).alias("parsed"))
@@ -232,27 +244,49 @@ def _(t: Tables) -> DataFrame:
     return t.part.select("p_partkey", F.array_join(nested.map_codes(codes, {"a": ["a1", "a2"], "b": ["b1", "a2"]}), ",").alias("mapped"), F.array_join(flags, ",").alias("flags"))
 
 
-@query("services_and_labels")
+@query("services_and_labels", """
+WITH p AS (SELECT *, '[' || CASE WHEN p_type < p_brand THEN '"' || p_type || '","' || p_brand ELSE '"' || p_brand || '","' || p_type END || '"]' AS cats FROM part)
+SELECT p_partkey, '[{"action":"donner","categories":' || cats || '},{"action":"reparer","categories":' || cats || '}]' AS services, CASE WHEN p_size > 25 THEN 'bonus,' ELSE '' END || lower(p_type) || ',ess' AS labels, p_name || ' | ' || p_brand AS joined, '{"type":"' || p_type || '","size":' || p_size || '}' AS fields FROM p""")
 def _(t: Tables) -> DataFrame:
     s = nested.services(F.array(F.lit("reparer"), F.lit("donner")), F.array("p_type", "p_brand"))
     labels = nested.label_codes(F.concat("p_type", F.lit("| ESS |x")), F.col("p_size") > 25, ("x",))
     return t.part.select("p_partkey", F.to_json(s).alias("services"), F.array_join(labels, ",").alias("labels"), nested.join_non_empty("p_name", F.lit(""), "p_brand").alias("joined"), F.to_json(nested.prefixed(["p_type", "p_size"], "p_")).alias("fields"))
 
 
-@query("opening_hours")
+_WEEK = ("lundi", "mardi", "mercredi", "jeudi", "vendredi", "samedi", "dimanche")
+#: Rules, and the hours of each day of the week that they mean.
+_HOURS = [
+    ("24/7", ["00:00 - 23:59"] * 7),
+    ("Mo-Fr 09h00-12:00,11:30-13:00; Sa 10:00-12:00", ["09:00 - 13:00"] * 5 + ["10:00 - 12:00", "Fermé"]),
+    ("08:00-20:00", ["08:00 - 20:00"] * 7),
+    ("Mo-Sa 09:00-12:00, 14:00-18:00; We off; PH off", [*["09:00 - 12:00; 14:00 - 18:00"] * 2, "Fermé", *["09:00 - 12:00; 14:00 - 18:00"] * 3, "Fermé"]),
+    ("Fr-Mo 22:00-02:00", ["00:00 - 02:00; 22:00 - 24:00", "00:00 - 02:00", "Fermé", "Fermé", "22:00 - 24:00", *["00:00 - 02:00; 22:00 - 24:00"] * 2]),
+    ("Mo,We 08:00-10:00, Tu 09:00-11:00; We 15:00-16:00", ["08:00 - 10:00", "09:00 - 11:00", "15:00 - 16:00", *["Fermé"] * 4]),
+]
+
+
+@query("opening_hours", "SELECT s_suppkey, CASE s_suppkey % 6 " + " ".join(f"WHEN {i} THEN '" + "' || chr(10) || '".join(f"{d}: {h}" for d, h in zip(_WEEK, hours, strict=True)) + "'" for i, (_, hours) in enumerate(_HOURS)) + " END AS hours FROM supplier")
 def _(t: Tables) -> DataFrame:
-    rule = F.when(F.col("s_suppkey") % 3 == 0, "24/7").when(F.col("s_suppkey") % 3 == 1, "Mo-Fr 09h00-12:00,11:30-13:00; Sa 10:00-12:00").otherwise("08:00-20:00")
+    rule = F.get(F.array(*[F.lit(r) for r, _ in _HOURS]), (F.col("s_suppkey") % 6).cast("int"))
     hours = nested.opening_hours(nested.fix_hour_signs(rule))
     return t.supplier.select("s_suppkey", nested.opening_hours_french(hours).alias("hours"))
 
 
-@query("points_and_wkb")
+_BYTES = "hex({0}::DOUBLE::BIT::BLOB)"
+_SWAPPED = " || ".join(f"substr({_BYTES}, {i}, 2)" for i in range(15, 0, -2))
+
+
+@query("points_and_wkb", f"""
+WITH p AS (SELECT s_suppkey, (s_suppkey % 80)::DOUBLE AS lat, (s_suppkey % 170)::DOUBLE AS lon FROM supplier)
+SELECT s_suppkey, lat, lon, '0101000000' || {_SWAPPED.format('lon')} || {_SWAPPED.format('lat')} AS wkb, 1000.0::DOUBLE / (111320.0::DOUBLE * cos(radians(lat))) AS degrees FROM p""")
 def _(t: Tables) -> DataFrame:
     p = t.supplier.select("s_suppkey", numbers.point(F.concat_ws(",", (F.col("s_suppkey") % 80).cast("string"), (F.col("s_suppkey") % 170).cast("string"))).alias("p"))
     return p.select("s_suppkey", "p.lat", "p.lon", numbers.wkb_hex(F.col("p.lon"), F.col("p.lat")).alias("wkb"), numbers.metres_to_degrees(F.lit(1000.0), F.col("p.lat")).alias("degrees"))
 
 
-@query("sql_functions")
+@query("sql_functions", f"""
+SELECT p_partkey, nullif(array_to_string(list_sort({_WORDS.format('p_name', 2)}), ' '), '') AS norm, NULL::VARCHAR AS nd, len(list_filter(string_split(p_name, ' '), lambda w: w <> '' AND contains(p_type, w)))::BIGINT AS common,
+  array_to_string(list_sort(list_distinct([p_brand, p_type])), ' ') AS joined, p_partkey // 7 AS q FROM part""")
 def _(t: Tables) -> DataFrame:
     text.register_functions(t.spark)
     t.part.createOrReplaceTempView("pl_part")
