@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from placeloom.operators.fuzzy import word_similarity
+from placeloom.operators.fuzzy import trigrams, word_similarity
 
 
 def faceted(entities: DataFrame, key: str, facets: list[tuple[DataFrame, Column]], exclude: Column | None = None) -> DataFrame:
@@ -34,7 +34,8 @@ def rank_terms(terms: DataFrame, query: str, title: str, body: str, norm: str, l
     q = F.lit(query)
     prefix = F.startswith(F.lower(F.col(title)), F.lower(q))
     raw = F.greatest(word_similarity(q, F.col(title)) * F.col(norm), word_similarity(q, F.col(body)))
-    scored = terms.withColumn("raw", raw).filter(F.col("raw") >= least).withColumn("score", F.col("raw") * F.when(prefix, 1 + boost).otherwise(1.0))
+    met = F.arrays_overlap(trigrams(q), trigrams(F.concat_ws(" ", title, body)))  # others have no similarity
+    scored = terms.filter(met).withColumn("raw", raw).filter(F.col("raw") >= least).withColumn("score", F.col("raw") * F.when(prefix, 1 + boost).otherwise(1.0))
     return scored.orderBy(F.desc("score"), tie).limit(top)
 
 
