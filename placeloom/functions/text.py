@@ -374,6 +374,11 @@ def digits_of_length(c: Column, n: int) -> Column:
     return F.coalesce((F.length(c) == n) & c.rlike("^[0-9]+$"), F.lit(False))
 
 
+def register_table_function(spark: SparkSession, name: str, parameters: str, columns: str, query: str) -> None:
+    """A parameterised query as a temporary table function: what SQL templates with arguments are for."""
+    spark.sql(f"CREATE OR REPLACE TEMPORARY FUNCTION {name}({parameters}) RETURNS TABLE ({columns}) RETURN {query}")
+
+
 def register_functions(spark: SparkSession) -> None:
     """The warehouse's four text functions and divmod, as temporary SQL functions."""
     a, b = ACCENTED, UNACCENTED

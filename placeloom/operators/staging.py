@@ -8,6 +8,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 _LOCAL_SHARED: list[str] = []
+_STAGED: list[str] = []
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -27,9 +28,24 @@ def stage(df: DataFrame, tag: str) -> DataFrame:
     """Write ``df`` as Parquet to the shared folder and read it back.
 
     Cuts lineage, so that a lost executor costs a re-read and not a recomputation, and lets several consumers share one
-    computation. The files stay until the shared folder is cleaned, because the plan that reads them is lazy.
+    computation. The files stay until they are released, because the plan that reads them is lazy.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/placeloom-{tag}-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    _STAGED.append(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def staged() -> list[str]:
+    """Paths of the tables that this process staged and hasn't released, oldest first."""
+    return list(_STAGED)
+
+
+def release(spark: SparkSession, paths: list[str]) -> None:
+    """Removes staged tables, once whatever read them has been written elsewhere."""
+    for path in paths:
+        p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+        p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+        if path in _STAGED:
+            _STAGED.remove(path)

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from placeloom.functions import ids, nested, numbers, text
 from placeloom.plans.entity_queries import duck_base57, duck_uuid5
 from placeloom.plans.registry import Tables, query
+from placeloom.sources import readers, writers
 
 _A, _B = text.ACCENTED, text.UNACCENTED
 
@@ -291,3 +292,18 @@ def _(t: Tables) -> DataFrame:
     text.register_functions(t.spark)
     t.part.createOrReplaceTempView("pl_part")
     return t.spark.sql("SELECT p_partkey, pl_normalize_for_match(p_name) AS norm, pl_cleanup(' [ND]') AS nd, pl_words_in_common(p_name, p_type) AS common, pl_concat_unique(array(p_brand, p_type, '')) AS joined, pl_divmod(p_partkey, 7).quotient AS q FROM pl_part")
+
+
+@query("table_functions", "SELECT p_brand, count(*) AS n FROM part WHERE p_size >= 30 GROUP BY 1 HAVING count(*) >= 2")
+def _(t: Tables) -> DataFrame:
+    t.part.createOrReplaceTempView("pl_part")
+    text.register_table_function(t.spark, "pl_frequent", "least INT, size INT", "brand STRING, n BIGINT", "SELECT p_brand, count(*) FROM pl_part WHERE p_size >= size GROUP BY p_brand HAVING count(*) >= least")
+    return t.spark.sql("SELECT brand AS p_brand, n FROM pl_frequent(2, 30)")
+
+
+@query("codes_as_json", """
+SELECT p_partkey, '["' || p_type || '","' || p_brand || '"]' AS stored, p_brand AS second FROM part""")
+def _(t: Tables) -> DataFrame:
+    stored = writers.codes_as_json(t.part.select("p_partkey", F.array("p_type", "p_brand").alias("part_codes")))
+    back = readers.parsed_codes(stored.withColumn("stored", F.col("part_codes")), {"part_codes": "array<string>"})
+    return back.select("p_partkey", "stored", F.get("part_codes", F.lit(1)).alias("second"))

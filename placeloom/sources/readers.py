@@ -143,6 +143,11 @@ def _csv_batches(raw, columns: list[str], sep: str, encoding: str, substitutions
         yield pa.RecordBatch.from_arrays([pa.array(c, pa.string()) for c in zip(*held, strict=True)], columns)
 
 
+def parsed_codes(df: DataFrame, kinds: dict[str, str]) -> DataFrame:
+    """JSON text of a store back as columns of the given types; text that can't be parsed is null."""
+    return df.withColumns({c: F.from_json(F.col(c), kind) for c, kind in kinds.items()})
+
+
 class _Page(InputPartition):
     def __init__(self, url: str) -> None:
         self.url = url

@@ -41,6 +41,11 @@ def write_table(df: DataFrame, path: str, partition_by: tuple[str, ...] = ()) ->
     df.write.mode("overwrite").partitionBy(*partition_by).parquet(path)
 
 
+def codes_as_json(df: DataFrame, suffix: str = "_codes") -> DataFrame:
+    """Columns of codes as JSON text, for stores without arrays."""
+    return df.withColumns({c: F.to_json(c) for c, kind in df.dtypes if c.endswith(suffix) and kind.startswith(("array", "map", "struct"))})
+
+
 def append_rows(df: DataFrame, path: str) -> None:
     df.write.mode("append").parquet(path)
 
