@@ -2,40 +2,15 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-# The white space of the word rule, [\x20\x09-\x0D].
-WHITE = " \t\n\x0b\x0c\r"
-
-_LOCAL_SHARED: list[str] = []
-
+from placeloom.operators.staging import stage
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir. A temporary one stands in only on a local master (tests)."""
-    base = spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
-    if base is None:
-        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
-            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
-        if not _LOCAL_SHARED:
-            _LOCAL_SHARED.append("file://" + tempfile.mkdtemp(prefix="placeloom-shared-"))
-        base = _LOCAL_SHARED[0]
-    return base
+__all__ = ["SALT", "SALTS", "WHITE", "bounded_join", "salted", "spread", "stage", "stripped", "table", "words"]
 
-
-def stage(df: DataFrame, tag: str) -> DataFrame:
-    """Write ``df`` as Parquet to the shared folder and read it back.
-
-    Cuts lineage, so that a lost executor costs a re-read and not a recomputation, and lets several consumers share one
-    computation. The files stay until the shared folder is cleaned, because the plan that reads them is lazy.
-    """
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/placeloom-{tag}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+# The white space of the word rule, [\x20\x09-\x0D].
+WHITE = " \t\n\x0b\x0c\r"
 
 
 def words(text: Column) -> Column:
@@ -74,10 +49,10 @@ def salted(rows: DataFrame, by: str) -> DataFrame:
     return rows.withColumn(SALT, F.pmod(F.xxhash64(by, F.lit(97)), F.lit(SALTS)).cast("int"))
 
 
-def spread(rows: DataFrame, per_key: DataFrame, key: str) -> DataFrame:
-    """``per_key`` (one row per key) repeated for the salts that its key has in ``rows``, to be joined on (key, salt): no task
+def spread(rows: DataFrame, per_key: DataFrame, *keys: str) -> DataFrame:
+    """``per_key`` (one row per key) repeated for the salts that its key has in ``rows``, to be joined on keys and salt: no task
     of either join holds more than SALTS rows of a key on this side, or the rows of one salt on the other."""
-    return rows.select(key, SALT).distinct().join(per_key, key)
+    return rows.select(*keys, SALT).distinct().join(per_key, list(keys))
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

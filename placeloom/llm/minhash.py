@@ -36,7 +36,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from placeloom.llm.common import SALT, salted, spread, stage
-from placeloom.llm.components import components
+from placeloom.operators.graph import connected_components
 
 # Shingle length and the threshold of the contract, 100 * intersection >= 85 * union.
 SHINGLE = 5
@@ -194,6 +194,11 @@ def _groups(batches: Iterator[pa.RecordBatch], keys: tuple[str, ...]) -> Iterato
         yield held
 
 
+def components(links: DataFrame) -> DataFrame:
+    """(u, v) links to (node, component): the least node reachable."""
+    return connected_components(links, "u", "v")
+
+
 class _Forest:
     def __init__(self, labels: list) -> None:
         self.up = {x: x for x in labels}
