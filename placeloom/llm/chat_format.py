@@ -43,9 +43,10 @@ def expand(conversations: DataFrame) -> DataFrame:
         .withColumn("ends", F.expr("filter(sequence(0, size(t) - 1), i -> t[i].role = 'assistant' OR i = size(t) - 1)"))
         .withColumn("trainable", F.expr("transform(ends, i -> t[i].role = 'assistant')"))
         .withColumn("rendered", F.expr("transform(heads, (h, i) -> concat(h, bodies[i]))"))
-        .select("conv_id", "heads", "bodies", "rendered", F.expr("size(ends)").alias("n"), F.posexplode(F.arrays_zip("ends", "trainable")).alias("example", "e"))
-        .withColumn("context", F.expr("concat(array_join(transform(slice(rendered, 1, e.ends), r -> concat(r, '<|im_end|>\n')), ''), heads[e.ends])"))
-        .withColumn("body", F.expr("bodies[e.ends]"))
+        .withColumn("own", F.expr("transform(ends, i -> struct(heads[i] AS head, bodies[i] AS body))"))
+        .select("conv_id", "rendered", F.expr("size(ends)").alias("n"), F.posexplode(F.arrays_zip("ends", "trainable", "own")).alias("example", "e"))  # one copy of the turns for each example
+        .withColumn("context", F.expr("concat(array_join(transform(slice(rendered, 1, e.ends), r -> concat(r, '<|im_end|>\n')), ''), e.own.head)"))
+        .withColumn("body", F.col("e.own.body"))
         .select(
             "conv_id",
             "example",
