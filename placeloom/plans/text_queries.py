@@ -119,13 +119,13 @@ _HEADS = [("http:///ww.", "http://www."), ("https//", "https://"), ("noise https
 
 
 @query("url_repair", rf"""
-WITH u AS (SELECT page_id, regexp_replace(url, '^https?://', '') || CASE WHEN page_id % 4 = 0 THEN '/en' WHEN page_id % 4 = 1 THEN '/en/' ELSE '' END AS rest FROM pages),
+WITH u AS (SELECT page_id, regexp_replace(url, '^https?://(www\.)?', '') || CASE WHEN page_id % 4 = 0 THEN '/en' WHEN page_id % 4 = 1 THEN '/en/' ELSE '' END AS rest FROM pages),
 v AS (SELECT page_id, [{", ".join(f"'{good}'" for _, good in _HEADS)}][(page_id % {len(_HEADS)} + 1)::INTEGER] || CASE WHEN page_id % 4 < 2 THEN regexp_replace(rest, '/en/?$', '/') ELSE rest END AS r FROM u), w AS (SELECT page_id, r, replace(r, 'http://', 'https://') AS s FROM v)
 SELECT page_id, r AS repaired, CASE WHEN regexp_matches(s, '^https?://([a-zA-Z0-9_-]+\.)+[a-zA-Z]{{2,}}(/[^\s]*)?$') THEN CASE WHEN r = s THEN s ELSE s || ' ' || r END ELSE '' END AS to_try FROM w""")
 def _(t: Tables) -> DataFrame:
     k = F.col("page_id")
     head = F.get(F.array(*[F.lit(bad) for bad, _ in _HEADS]), (k % len(_HEADS)).cast("int"))
-    u = F.concat(head, F.regexp_replace("url", "^https?://", ""), F.when(k % 4 == 0, "/en").when(k % 4 == 1, "/en/").otherwise(""))
+    u = F.concat(head, F.regexp_replace("url", r"^https?://(www\.)?", ""), F.when(k % 4 == 0, "/en").when(k % 4 == 1, "/en/").otherwise(""))
     return t.pages.select("page_id", text.repair_url(u).alias("repaired"), F.array_join(text.urls_to_try(u), " ").alias("to_try"))
 
 
