@@ -49,3 +49,18 @@ def release(spark: SparkSession, paths: list[str]) -> None:
         p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
         if path in _STAGED:
             _STAGED.remove(path)
+
+
+def reads(df: DataFrame, path: str) -> bool:
+    """Whether the plan of ``df`` reads the staged table at ``path``; true where the plan doesn't tell (cached or unknown relations)."""
+    leaves = df._jdf.queryExecution().analyzed().collectLeaves()
+    for i in range(leaves.size()):
+        leaf = leaves.apply(i)
+        kind = leaf.getClass().getSimpleName()
+        if kind == "LogicalRelation" and leaf.relation().getClass().getSimpleName() == "HadoopFsRelation":
+            roots = leaf.relation().location().rootPaths()
+            if any(path.rstrip("/").endswith(roots.apply(j).toUri().getPath()) for j in range(roots.size())):
+                return True
+        elif kind not in ("LocalRelation", "OneRowRelation", "OneRowRelation$", "Range"):
+            return True
+    return False
