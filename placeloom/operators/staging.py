@@ -32,7 +32,7 @@ def stage(df: DataFrame, tag: str) -> DataFrame:
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/placeloom-{tag}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.option("compression", "zstd").parquet(path)
     _STAGED.append(path)
     return spark.read.schema(df.schema).parquet(path)
 
