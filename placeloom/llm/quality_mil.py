@@ -168,7 +168,7 @@ class AttentionMil:
         g["emb"] = grams.T @ (dh @ self.w1[FEATURES:].T).astype(grams.dtype)
         return float(-np.mean(y * np.log(p + 1e-12) + (1 - y) * np.log(1 - p + 1e-12))), g
 
-    def fit(self, texts: list[bytes], labels: np.ndarray, epochs: int = 10, batch: int = 32, rate: float = 0.01, decay: float = 1e-4, seed: int = 4) -> AttentionMil:
+    def fit(self, texts: list[bytes], labels: np.ndarray, epochs: int = 6, batch: int = 64, rate: float = 0.01, decay: float = 1e-4, seed: int = 4) -> AttentionMil:
         labels = np.asarray(labels, float)
         if len(set(labels.tolist())) < 2:
             self.constant = float(labels.mean()) if len(labels) else 0.5
