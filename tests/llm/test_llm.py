@@ -665,3 +665,17 @@ def test_pipeline_of_an_empty_table(spark, none, tmp_path):
     none.write.parquet(f"{tmp_path}/documents.parquet")
     spark.createDataFrame([(1, "a b c d e f g h")], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
     assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
+
+
+def test_pipeline_stages_remove_what_is_no_longer_read(spark, docs, tmp_path):
+    from placeloom.operators.staging import staged
+
+    lazy = corpus_pipeline.quality(spark, docs, str(tmp_path))
+    held = set(corpus_pipeline._LEFT)
+    assert held <= set(staged())
+    want = sorted({*brute.components({r["doc_id"]: r["text"] for r in lazy.collect()}).values()})
+    second = corpus_pipeline.near_duplicates(spark, lazy, str(tmp_path))  # reads what the first stage staged, so that stays
+    assert sorted(r["doc_id"] for r in second.collect()) == want and held <= set(staged())
+    second.write.parquet(f"{tmp_path}/two")
+    corpus_pipeline.mix(spark, spark.read.parquet(f"{tmp_path}/two"), str(tmp_path)).count()
+    assert not any("duplicates" in p or "sketches" in p for p in corpus_pipeline._LEFT)
