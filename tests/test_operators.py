@@ -452,3 +452,15 @@ def test_endpoints_by_url(spark):
     assert readers.by_url(spark, "http://cursor/1", **how).count() == 1
     with pytest.raises(ValueError):
         readers.by_url(spark, "http://cursor/1?x=1", **how)
+
+
+def test_staged_tables_are_released(spark):
+    from placeloom.operators import staging
+
+    one = staging.stage(spark.range(5), "one")
+    path = staging.staged()[-1]
+    two = one.join(spark.createDataFrame([(1,)], "id long"), "id")
+    assert staging.reads(two, path) and not staging.reads(spark.range(3), path) and not staging.reads(staging.stage(spark.range(2), "two"), path)
+    assert two.count() == 1
+    staging.release(spark, [path])
+    assert path not in staging.staged() and not writers.exists(spark, path)
