@@ -276,7 +276,8 @@ def _with_text(rows: DataFrame, docs: DataFrame) -> DataFrame:
 def _verified(pairs: DataFrame, docs: DataFrame) -> DataFrame:
     """Confirmed links of (id, digest, centre, head) pairs, ``head`` being the centre's digest."""
     runs = pairs.groupBy("centre", "head").agg((F.floor(F.count(F.lit(1)) / RUN) + 1).cast("int").alias("runs"))
-    members = pairs.join(runs, ["centre", "head"]).select("id", "digest", "centre", "head", F.pmod(F.xxhash64("id", "digest"), F.col("runs")).cast("int").alias("salt"), F.lit(1).alias("role"))
+    dealt = salted(pairs, "digest")
+    members = dealt.join(spread(dealt, runs, "centre", "head"), ["centre", "head", SALT]).select("id", "digest", "centre", "head", F.pmod(F.xxhash64("id", "digest"), F.col("runs")).cast("int").alias("salt"), F.lit(1).alias("role"))
     heads = runs.select(F.col("centre").alias("id"), F.col("head").alias("digest"), "centre", "head", F.explode(F.sequence(F.lit(0), F.col("runs") - 1)).alias("salt"), F.lit(0).alias("role"))
     rows = _with_text(members.unionByName(heads), docs).repartition("centre", "head", "salt").sortWithinPartitions("centre", "head", "salt", "role")
     kind = docs.schema["doc_id"].dataType.simpleString()
