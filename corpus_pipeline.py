@@ -8,13 +8,35 @@ its docstring says.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from functools import wraps
+
 from pyspark.sql import DataFrame, SparkSession
 
 from placeloom.llm import decontaminate, minhash, mixing, quality_rules, sharding
 from placeloom.llm.common import stage, table
-from placeloom.operators.staging import release, staged
+from placeloom.operators.staging import reads, release, staged
+
+Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
+
+_LEFT: list[str] = []  # what the stage before staged on its way
+
+
+def tidy(function: Stage) -> Stage:
+    """A stage that begins by removing what the stage before it left in the shared folder, unless ``docs`` reads it."""
+
+    @wraps(function)
+    def run(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        release(spark, [p for p in _LEFT if not reads(docs, p)])
+        before = set(staged())
+        out = function(spark, docs, sf_dir)
+        _LEFT[:] = [p for p in staged() if p not in before]
+        return out
+
+    return run
 
 
+@tidy
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Rejects documents by the base rule and by the adaptive fences of their language and source.
 
@@ -22,6 +44,7 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return quality_rules.filter_documents(docs)
 
 
+@tidy
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps the document with the least doc_id of each near-duplicate component.
 
@@ -29,6 +52,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     return minhash.keep_first(docs)
 
 
+@tidy
 def benchmark_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Rejects documents that contain a benchmark item.
 
@@ -36,6 +60,7 @@ def benchmark_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     return decontaminate.remove_contaminated(docs, table(spark, sf_dir, "benchmark"))
 
 
+@tidy
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Repeats documents so that sources meet their target weights.
 
@@ -44,6 +69,7 @@ def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return mixing.mix_documents(docs)
 
 
+@tidy
 def shard(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Shuffles documents into shards of equal numbers of rows; repeated rows have places of their own."""
     return sharding.shard_documents(docs)
