@@ -84,7 +84,7 @@ def identifier_coverage(actors: DataFrame, day: str) -> DataFrame:
 
 def first_service_distance(probes: DataFrame, actors: DataFrame, metres: float = 100_000.0) -> DataFrame:
     """Per action and in total: the mean distance to the nearest place and the mean number of places."""
-    near = geo.nearest(geo.distance_join(probes, actors, metres), ["p_probe", "action"], "identifiant_unique")
+    near = geo.nearest_within(probes, actors, metres, "probe", "action", "identifiant_unique")
     return rel.group_and_total(near, ["action"], [F.round(F.avg("distance_m"), 3).alias("mean_distance"), F.round(F.avg("n_solutions"), 3).alias("mean_solutions")], {"action": F.lit("TOUTES_ACTIONS")})
 
 

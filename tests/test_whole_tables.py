@@ -4,6 +4,7 @@ import datetime
 import math
 from collections import defaultdict
 
+import duckdb
 import pytest
 
 from placeloom.plans import queries as engine
@@ -53,6 +54,39 @@ def test_distance_nearest_of_all_probes(spark, folder):
     assert all(abs(got[k][0] - want[k][0]) < 0.01 and got[k][1] == want[k][1] for k in want)
 
 
+@pytest.fixture(scope="module")
+def crowded(spark, tmp_path_factory):
+    """Tables in which many keys share a place, a name and a block, and their views for SQL."""
+    out = str(tmp_path_factory.mktemp("crowded"))
+    spark.range(20_000).selectExpr("id AS c_custkey", "concat('s', hash(id) % 3) AS c_mktsegment").write.parquet(f"{out}/customer.parquet")
+    spark.range(1000).selectExpr("id AS s_suppkey").write.parquet(f"{out}/supplier.parquet")
+    con = duckdb.connect()
+    for t in ("customer", "supplier"):
+        con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{out}/{t}.parquet/*.parquet'")
+    return out, con
+
+
+def most_rows(df):
+    """The most rows that a node of the plan made when ``df`` was collected."""
+    df.collect()
+    todo, most = [df._jdf.queryExecution().executedPlan()], 0
+    while todo:
+        node = todo.pop()
+        kind = node.getClass().getSimpleName()
+        if node.metrics().contains("numOutputRows"):
+            most = max(most, node.metrics().apply("numOutputRows").value())
+        inner = [node.executedPlan()] if kind == "AdaptiveSparkPlanExec" else [node.plan()] if kind.endswith("QueryStageExec") else []
+        todo += inner + [node.children().apply(i) for i in range(node.children().size())]
+    return most
+
+
+def test_first_service_distance_of_crowded_places(spark, crowded):
+    folder, con = crowded
+    df = engine.queries()["first_service_distance"](spark, folder)
+    oracle.same(df, con, engine.oracle_sql()["first_service_distance"])
+    assert most_rows(df) < 300_000  # 20 million pairs of keys, 3 million of them in reach
+
+
 def test_first_service_distance_of_all_probes(spark, folder):
     near = {key: (min(found)[0], len(found)) for key, found in within(100_000).items()}
     got = {r["action"]: r for r in engine.queries()["first_service_distance"](spark, folder).collect()}
